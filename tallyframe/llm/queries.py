@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, piece_codec, token_files
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_sentencepiece": piece_codec.op5_sentencepiece,
+    "op8_token_ids": token_files.op8_token_ids,
     "op9_mixing": mixing.op9_mixing,
 }
 
