@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,30 @@ def binary(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():  # else it came in an archive that Spark was given
+        target = Path(tempfile.mkdtemp()) / f"{package.name}_code.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package's code at hand; for ``df.transform``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -49,6 +75,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: it is computed once,
     survives lost executors and has a short plan."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, binary, squeeze, staged, table
+from .common import WS_CLASS, binary, mapped, squeeze, staged, table
 
 #: Bytes of text that one trie holds before it spills a subtree.
 TRIE_BYTES = 32 << 20
@@ -185,9 +185,9 @@ def own(trie_bytes: int):
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per different text: n_bytes, text_sha256, keep_id, group_size."""
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    parts = slim.mapInArrow(combine(trie_bytes), _PARTIAL)
+    parts = slim.transform(mapped, combine(trie_bytes), _PARTIAL)
     dealt = parts.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash", "body")
-    return dealt.mapInArrow(own(trie_bytes), _OWNED)
+    return dealt.transform(mapped, own(trie_bytes), _OWNED)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -269,12 +269,12 @@ def _slim(df: DataFrame, id_col: str, value: str) -> DataFrame:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, ids) for each row, ids with begin and end, packed as little-endian 32-bit
     integers. Null text counts as empty; rows may repeat; other columns are not read."""
-    return _slim(docs, id_col, text_col).mapInArrow(encoding(model_bytes(model)), "id long, ids binary").withColumnRenamed("id", id_col)
+    return _slim(docs, id_col, text_col).transform(mapped, encoding(model_bytes(model)), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
     """(id, ids, text) for each row of packed ids; null ids count as none."""
-    out = _slim(tokens, id_col, ids_col).mapInArrow(decoding(model_bytes(model)), "id long, ids binary, text string")
+    out = _slim(tokens, id_col, ids_col).transform(mapped, decoding(model_bytes(model)), "id long, ids binary, text string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -301,7 +301,7 @@ def digests(proto: bytes):
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """Each row's token count and the digests of its ids and of the text decoded from them."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _slim(docs, id_col, text_col).mapInArrow(digests(model_bytes(model)), schema)
+    return _slim(docs, id_col, text_col).transform(mapped, digests(model_bytes(model)), schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, piece_codec, token_files
+from . import exact_dedup, line_dedup, mixing, piece_codec, token_files
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
     "op8_token_ids": token_files.op8_token_ids,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_line_dedup": line_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import shared_dir, table
+from .common import mapped, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -154,7 +154,7 @@ def write(
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = slim.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(segments(tokenizer_json(tokenizer), end_id, segment_ids), SEGMENTS).write.parquet(path)
+    ordered.transform(mapped, segments(tokenizer_json(tokenizer), end_id, segment_ids), SEGMENTS).write.parquet(path)
 
 
 def _located(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +187,7 @@ def _read(batches):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of each document of a token table; ids are little-endian 32-bit integers."""
-    return _located(spark, path).mapInArrow(_read, "doc_id long, start long, ids binary")
+    return _located(spark, path).transform(mapped, _read, "doc_id long, start long, ids binary")
 
 
 def _index(batches):
@@ -200,7 +200,7 @@ def _index(batches):
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the streams of a token table."""
-    return _located(spark, path).mapInArrow(_index, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _located(spark, path).transform(mapped, _index, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
