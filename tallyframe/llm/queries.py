@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, piece_codec, simhash, token_files
+from . import embedding_dedup, exact_dedup, line_dedup, mixing, piece_codec, simhash, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
     "op6_simhash": simhash.op6_simhash,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_token_ids": token_files.op8_token_ids,
     "op9_mixing": mixing.op9_mixing,
 }
