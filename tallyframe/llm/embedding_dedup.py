@@ -195,7 +195,7 @@ def _meet(basis, threshold: float):
                             label[np.isin(label, merged)] = merged.min()
                 if not left:
                     continue
-                counted = {True: [(na, to_a + to_b)], False: [(na, to_a), (nb, to_b)]}[bool(same)]
+                counted = [(na, to_a + to_b)] if same else [(na, to_a), (nb, to_b)]
                 ids, sums = (np.concatenate([c[k] for c in counted]) for k in (0, 1))
                 ids, sums = ids[sums > 0], sums[sums > 0]
                 a = pa.array(np.concatenate([ids, np.array(left, np.int64)]))

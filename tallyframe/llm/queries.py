@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, line_dedup, mixing, piece_codec, simhash, token_files
+from . import embedding_dedup, exact_dedup, html_text, line_dedup, mixing, piece_codec, simhash, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_token_ids": token_files.op8_token_ids,
     "op9_mixing": mixing.op9_mixing,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 SQL = {
