@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, html_text, line_dedup, mixing, piece_codec, simhash, token_files
+from . import embedding_dedup, exact_dedup, html_text, line_dedup, mixing, piece_codec, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
