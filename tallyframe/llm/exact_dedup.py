@@ -190,11 +190,12 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie
     return dealt.transform(mapped, own(trie_bytes), _OWNED)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, rows: bool = False) -> DataFrame:
+    """(_id, _n, _sha) of each row, and with ``rows`` the row itself as _row."""
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS_CLASS, " ")
-    return docs.select(*more, F.col(id_col).cast("long").alias("_id"), norm.alias("_norm")).select(
-        *more, "_id", F.octet_length("_norm").cast("long").alias("_n"), F.sha2("_norm", 256).alias("_sha")
-    )
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if rows else []
+    slim = docs.select(*whole, F.col(id_col).cast("long").alias("_id"), norm.alias("_norm"))
+    return slim.select(*["_row"] * rows, "_id", F.octet_length("_norm").cast("long").alias("_n"), F.sha2("_norm", 256).alias("_sha"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,10 +216,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the smallest id."""
-    columns = docs.columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     owner = staged(owners(docs, id_col, text_col), "owners").select("n_bytes", "text_sha256", "keep_id")
-    first = _keyed(docs, id_col, text_col, whole).join(
+    first = _keyed(docs, id_col, text_col, rows=True).join(
         owner, (F.col("_sha") == F.col("text_sha256")) & (F.col("_n") == F.col("n_bytes")) & F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi"
     )
     again = staged(_keyed(docs, id_col, text_col).groupBy("_id", "_sha").count().where("count > 1").select("_sha"), "repeats")
