@@ -273,12 +273,13 @@ _VALUES: dict[int, WordValues] = {}
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> list:
     """(text, label) of at most so many labelled documents, clean and toxic, that aren't held out."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    known = known.where(F.crc32(F.col("_id").cast("string")) % 5 != 0)
-    both = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
-    out = []
-    for label in (0, 1):
-        out += both.where(F.col("_label") == label).orderBy(F.xxhash64("_doc"), "_doc", F.xxhash64("_text")).limit(rows[label]).select("_text", "_label").collect()
-    return [(r[0], r[1]) for r in out]
+    known = known.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).withColumn("_order", F.xxhash64("_id"))
+    # the ids are chosen first: they are few, so the texts needn't be shuffled
+    chosen = [known.where(F.col("_label") == label).orderBy("_order", "_id").limit(rows[label]) for label in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionAll(chosen[1]))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = texts.join(chosen, F.col("_doc") == F.col("_id")).select("_order", "_doc", "_text", "_label").collect()
+    return [(r._text, r._label) for r in sorted(found, key=lambda r: (r._order, r._doc, r._text))]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> ToxicityModel | None:
