@@ -305,7 +305,8 @@ def not_toxic(docs: DataFrame, model: ToxicityModel | None, text_col: str = "tex
             found = next(judge(iter([pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], names=["id", "text"])])))
             yield batch.filter(pa.array(np.asarray(found.column(1)) < limit))
 
-    return docs.transform(mapped, run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names may hold dots
+    return plain.transform(mapped, run, plain.schema).toDF(*names)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
