@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from .common import mapped, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _GROUP_CHARS = 1 << 20
 _LONGEST_REMEMBERED = 64
 
@@ -33,6 +34,7 @@ SEGMENTS = "shard int, segment long, ids_before long, n_ids long, doc_ids binary
 
 # White space leads a piece; a word of plain letters ends before white space or a stop. The
 # tokenizer's own splitting never crosses these places, so pieces can be encoded alone.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?;:]|$)|\s*\S+|\s+")
 
 
@@ -46,6 +48,14 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def _visible_bytes() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write the 256 bytes: printable Latin-1
+    ones stand for themselves, the others for those from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class TextEncoder:
     """The tokenizers library behind a bounded memory of word pieces."""
 
@@ -58,11 +68,17 @@ class TextEncoder:
         special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         # these the library and Python's white space treat differently, or they are tokens of their own
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
+        self.model, self.visible = self.tokenizer.model, _visible_bytes()
         self.most, self.new, self.old = remembered, {}, {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+
+    def _word(self, piece: str) -> bytes:
+        """One word of plain letters: nothing to split, so the library's model sees it at once."""
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))
+        return struct.pack(f"<{len(found)}I", *[x.id for x in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian 32-bit integers."""
@@ -70,11 +86,13 @@ class TextEncoder:
         if len(self.new) > self.most:
             self.new, self.old = {}, self.new
         new, old, passing = self.new, self.old, {}
-        missing = list({p for pieces in cut if pieces for p in pieces if p not in new})
+        missing = [p for p in set().union(*filter(None, cut)) if p not in new]
         if old:
             new.update((p, old[p]) for p in missing if p in old)
             missing = [p for p in missing if p not in old]
-        for piece, ids in zip(missing, self._packed(missing), strict=True):
+        words = {p for p in missing if _WORD.fullmatch(p)}
+        rest = [p for p in missing if p not in words]
+        for piece, ids in (*((p, self._word(p)) for p in words), *zip(rest, self._packed(rest), strict=True)):
             (new if len(piece) <= _LONGEST_REMEMBERED else passing)[piece] = ids
         if passing:
             return [self._packed([t])[0] if c is None else b"".join([new[p] if p in new else passing[p] for p in c]) for t, c in zip(texts, cut, strict=True)]
