@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .dates import compact_day, iso_day
-from .money import fixed2, round2
+from .money import fixed2
 from .text import or_default, strip
 
 KEY_LENGTH = 21
@@ -21,13 +21,13 @@ def content_key(day: Column, description: Column, amount: Column) -> Column:
 
 def push_key(date: Column, description: Column, amount: Column) -> Column:
     """The key of a posting: days as 2026-01-31."""
-    return content_key(iso_day(date), description, round2(amount))
+    return content_key(iso_day(date), description, amount)
 
 
 def export_key(date: Column, description: Column, amount: Column) -> Column:
     """The key of an exported transaction: days as 20260131, and a default description, so
     it differs from ``push_key`` for the same row."""
-    return content_key(compact_day(date), or_default(description, "Transaction"), round2(amount))
+    return content_key(compact_day(date), or_default(description, "Transaction"), amount)
 
 
 def numbered(key: Column, *order: Column | str, within: tuple = ()) -> Column:
