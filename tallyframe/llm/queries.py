@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, html_text, line_dedup, mixing, piece_codec, simhash, token_files, toxicity
+from . import embedding_dedup, exact_dedup, html_text, line_dedup, mixing, piece_codec, simhash, token_files, toxicity, warc_fixity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_warc_fixity": warc_fixity.op2_warc_fixity,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_warc_fixity": warc_fixity.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
