@@ -15,9 +15,31 @@ from pyspark.sql import functions as F
 WS_CLASS = "[\\x20\\x09-\\x0D]+"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Longer keys are not remembered.
+_LONGEST_REMEMBERED = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Remembered(dict):
+    """Text to value by ``make``; at most two generations of ``most`` entries."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+            if len(key) > _LONGEST_REMEMBERED:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def squeeze(raw: bytes) -> bytes:
     """Every run of the six white-space bytes becomes one space."""
     raw = raw.translate(_TO_SPACE)

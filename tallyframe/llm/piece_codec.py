@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import Remembered, mapped, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Word pieces remembered by a worker, for each of two generations.
 REMEMBERED = 200_000
 _PAIRS = 1_000_000
-_LONGEST_REMEMBERED = 64
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -43,26 +42,6 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-class _Remembered(dict):
-    """Text to value by ``make``; at most two generations of ``most`` entries."""
-
-    def __init__(self, make, most: int) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.pop(key, None)
-        if value is None:
-            value = self.make(key)
-            if len(key) > _LONGEST_REMEMBERED:
-                return value
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class PieceCodec:
     """Encoder and decoder of one model."""
 
@@ -106,7 +85,7 @@ class PieceCodec:
         stops = re.escape("".join(x for x in ".,;:!?*&%$#|()[]{}<>+=/\"-" if x not in inside))
         word = f"{MARK}*[^\\W\\d_]+(?=[{MARK}\n{stops}]|$)"
         self.cut = re.compile(f"{word}|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self.packed = _Remembered(self._pack, remembered)
+        self.packed = Remembered(self._pack, remembered)
 
     # merges of a single token
 

@@ -21,14 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import mapped, shared_dir, table
+from .common import Remembered, mapped, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 REMEMBERED = 300_000
-_GROUP_CHARS = 1 << 20
-_LONGEST_REMEMBERED = 64
 
 SEGMENTS = "shard int, segment long, ids_before long, n_ids long, doc_ids binary, doc_lengths binary, missing_ids binary, stream binary"
 
@@ -69,34 +67,25 @@ class TextEncoder:
         # these the library and Python's white space treat differently, or they are tokens of their own
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
         self.model, self.visible = self.tokenizer.model, _visible_bytes()
-        self.most, self.new, self.old = remembered, {}, {}
+        self.known = Remembered(self._ids, remembered)
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+    def _packed(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, piece: str) -> bytes:
         """One word of plain letters: nothing to split, so the library's model sees it at once."""
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))
         return struct.pack(f"<{len(found)}I", *[x.id for x in found])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed as little-endian 32-bit integers."""
-        cut = [None if self.whole.search(t) else _CUT.findall(t) for t in texts]
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        new, old, passing = self.new, self.old, {}
-        missing = [p for p in set().union(*filter(None, cut)) if p not in new]
-        if old:
-            new.update((p, old[p]) for p in missing if p in old)
-            missing = [p for p in missing if p not in old]
-        words = {p for p in missing if _WORD.fullmatch(p)}
-        rest = [p for p in missing if p not in words]
-        for piece, ids in (*((p, self._word(p)) for p in words), *zip(rest, self._packed(rest), strict=True)):
-            (new if len(piece) <= _LONGEST_REMEMBERED else passing)[piece] = ids
-        if passing:
-            return [self._packed([t])[0] if c is None else b"".join([new[p] if p in new else passing[p] for p in c]) for t, c in zip(texts, cut, strict=True)]
-        return [self._packed([t])[0] if c is None else b"".join(map(new.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+    def _ids(self, piece: str) -> bytes:
+        return self._word(piece) if _WORD.fullmatch(piece) else self._packed(piece)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed as little-endian 32-bit integers."""
+        if self.whole.search(text):
+            return self._packed(text)
+        return b"".join(map(self.known.__getitem__, _CUT.findall(text)))
 
 
 _ENCODERS: dict[int, TextEncoder] = {}
@@ -116,15 +105,8 @@ def encoded(json_text: str, end_id: int | None):
     def run(batches):
         e = encoder(json_text)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            low = 0
-            while low < len(texts):
-                high, chars = low, 0
-                while high < len(texts) and (high == low or chars < _GROUP_CHARS):
-                    chars += len(texts[high])
-                    high += 1
-                yield from ((i, ids + tail) for i, ids in zip(names[low:high], e.encode(texts[low:high]), strict=True))
-                low = high
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield name, e.encode(text or "") + tail
 
     return run
 
