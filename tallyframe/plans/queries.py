@@ -128,7 +128,7 @@ def date_parse(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", written.alias("written"))
     first = rows.where("written <> 'soon'").groupBy("o_orderstatus").agg(F.min_by("written", "o_orderkey").alias("first"))
     form = first.select("o_orderstatus", dates.format_of(F.col("first")).alias("form"))
-    return rows.join(F.broadcast(form), "o_orderstatus").select("o_orderkey", dates.iso_day(dates.parse_date(F.col("written"), F.col("form"))).alias("day"))
+    return rows.join(form, "o_orderstatus").select("o_orderkey", dates.iso_day(dates.parse_date(F.col("written"), F.col("form"))).alias("day"))
 
 
 def _batch(spark, sf_dir):

@@ -96,10 +96,3 @@ def read_statement(spark: SparkSession, path: str) -> DataFrame:
         raise
     except Exception as e:
         raise StatementParseError("unreadable", f"Could not read {path!r}: {str(e).splitlines()[0]}") from e
-
-
-def read_accounts(accounts: DataFrame) -> DataFrame:
-    """The four columns of active accounts, from any relation of accounts."""
-    from ..operators.postings import active_accounts
-
-    return active_accounts(accounts)
