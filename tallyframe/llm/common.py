@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -73,10 +74,34 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a worker keeps from task to task of one operator: made once, let go when another
+    operator's tasks begin, so that a worker never holds the memories of two."""
+    if key not in _RESIDENT:
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def _begin(owner: str) -> None:
+    if _RESIDENT.get("owner") != owner:
+        _RESIDENT.clear()
+        _RESIDENT["owner"] = owner
+        gc.collect()
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with this package's code at hand; for ``df.transform``."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    owner = f"{function.__module__}.{function.__qualname__}"
+
+    def run(batches):
+        _begin(owner)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,12 +139,3 @@ def drop_staged(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def keep_marked(docs: DataFrame, key: str, marks: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in ``marks`` (unique there), restricted to ``columns``."""
-    return docs.join(marks, key, "left_semi").select(*columns)

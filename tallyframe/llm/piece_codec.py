@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, mapped, table
+from .common import Remembered, mapped, resident, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -205,15 +205,9 @@ def _each_bad_byte(raw: bytes) -> str:
     return "".join(out)
 
 
-_CODECS: dict[bytes, PieceCodec] = {}
-
-
 def codec(proto: bytes) -> PieceCodec:
     """One codec for each model and worker."""
-    key = hashlib.sha256(proto).digest()
-    if key not in _CODECS:
-        _CODECS[key] = PieceCodec(proto)
-    return _CODECS[key]
+    return resident(("pieces", hashlib.sha256(proto).digest()), lambda: PieceCodec(proto))
 
 
 def encoding(proto: bytes):

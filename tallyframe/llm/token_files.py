@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Remembered, mapped, shared_dir, table
+from .common import Remembered, mapped, resident, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -88,14 +88,9 @@ class TextEncoder:
         return b"".join(map(self.known.__getitem__, _CUT.findall(text)))
 
 
-_ENCODERS: dict[int, TextEncoder] = {}
-
-
 def encoder(json_text: str) -> TextEncoder:
-    key = hash(json_text)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(json_text)
-    return _ENCODERS[key]
+    """One encoder for each tokenizer and worker."""
+    return resident(("tokens", hash(json_text)), lambda: TextEncoder(json_text))
 
 
 def encoded(json_text: str, end_id: int | None):

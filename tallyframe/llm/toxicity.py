@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
-from .subsequence import Landmarks, windows
+from .common import mapped, resident, table
+from .subsequence import LONGEST, Landmarks, windows
 
 #: The machine is fitted on so many labelled documents at most, clean and toxic, those of the lowest hash.
 TRAIN_ROWS = (4000, 2000)
@@ -74,7 +74,7 @@ class WordValues:
         found = self.landmarks.against(list({p for ps in parts.values() for p in ps}))
         for w, ps in parts.items():
             values = [found[p] for p in ps if p in found]
-            new[w] = np.maximum.reduce(values) ** POWER if values else None
+            new[w] = (np.maximum.reduce(values) ** POWER).astype(np.float32) if values else None
 
 
 @dataclass
@@ -128,11 +128,11 @@ def _altered(word: str) -> list[str]:
     return [word[:k] + other + word[k:], word[:k] + word[k - 1 :]]
 
 
-def _candidates(bags: list[set[str]], labels: list[int], most: int, most_clean: int) -> tuple[list[str], list[str]]:
+def _candidates(texts: list[str], labels: list[int], most: int, most_clean: int) -> tuple[list[str], list[str]]:
     """Words that go with the label, by log-likelihood ratio, and clean words like them."""
     toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (toxic if label else clean).update(bag)
+    for text, label in zip(texts, labels, strict=True):
+        (toxic if label else clean).update({w[:LONGEST] for w in map(bytes.decode, units(text))})
     n, m = sum(labels), len(labels) - sum(labels)
     alike = Counter(toxic[w] + clean[w] for w in toxic.keys() | clean.keys())  # words by their number of documents
     ranked = []
@@ -200,15 +200,16 @@ def fit(texts: list[str], labels: list[int], most: int = MOST_LANDMARKS) -> Toxi
     texts, labels = _different(texts, labels)
     if len(set(labels)) < 2:
         return None
-    bags = [units(t) for t in texts]
-    insults, like = _candidates([{w.decode()[:24] for w in b} for b in bags], labels, most, MOST_CLEAN_LANDMARKS)
+    insults, like = _candidates(texts, labels, most, MOST_CLEAN_LANDMARKS)
     if not insults:
         return None
     landmarks = Landmarks(list(dict.fromkeys(insults + like)), FLOOR)
-    values = WordValues(landmarks, remembered=1 << 40)
-    for low in range(0, len(bags), _TOGETHER):
-        values.learn(set().union(*bags[low : low + _TOGETHER]))
-    described_ = [described(t, values, bag) for t, bag in zip(texts, bags, strict=True)]
+    values, described_ = WordValues(landmarks), []
+    for low in range(0, len(texts), _TOGETHER):
+        values.turn()
+        part = [units(t) for t in texts[low : low + _TOGETHER]]
+        values.learn(set().union(*part))
+        described_ += [described(t, values, bag) for t, bag in zip(texts[low : low + _TOGETHER], part, strict=True)]
     gram = (landmarks.values.T @ landmarks.values) ** POWER
     size, vectors = np.linalg.eigh(gram)
     kept = size > 1e-6 * size.max()
@@ -250,7 +251,7 @@ def scoring(model: ToxicityModel | None):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0.0] * batch.num_rows, pa.float64())], names=["id", "score"])
             return
-        values = _VALUES.setdefault(hash(tuple(model.landmarks.words)), WordValues(model.landmarks))
+        values = resident(("toxicity", tuple(model.landmarks.words)), lambda: WordValues(model.landmarks))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             worst = np.full(len(texts), model.bias)
@@ -267,9 +268,6 @@ def scoring(model: ToxicityModel | None):
     return run
 
 
-_VALUES: dict[int, WordValues] = {}
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> list:
     """(text, label) of at most so many labelled documents, clean and toxic, that aren't held out."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
