@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import mapped, staged, table
 from .components import components
@@ -81,7 +82,7 @@ def _leading(basis):
     def run(batches):
         for batch in batches:
             rows = batch.column(1).to_pylist()
-            first = [float(_rotated(np.array([v]), basis.value)[0, 0]) for v in rows] if len({len(v) for v in rows}) > 1 else _rotated(np.array(rows), basis.value)[:, 0] if rows else []
+            first = [float(_rotated(np.array([v], float), basis.value)[0, 0]) for v in rows] if len({len(v) for v in rows}) > 1 else _rotated(np.array(rows, float), basis.value)[:, 0] if rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.float64())], names=["node", "lead"])
 
     return run
@@ -101,20 +102,20 @@ def _cut(u: np.ndarray, most: int) -> list[np.ndarray]:
     return done
 
 
-def _tiles(basis, tile: int):
-    """Rows sorted by label to tiles."""
+def _tiles(basis, tile: int, kind: str):
+    """Rows sorted by label to tiles; ``kind`` is the components' type as numpy names it."""
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
 
         def out():
             nonlocal made
-            x = np.array(held["v"])
+            x = np.array(held["v"], float)
             u = _rotated(x, basis.value)[:, :_BOX_AXES]
             for rows in _cut(u, tile):
                 values = [
                     part << 33 | made, grp, u[rows].min(axis=0).tolist(), u[rows].max(axis=0).tolist(), len(rows),
-                    np.array(held["node"])[rows].astype("<i8").tobytes(), np.array(held["copies"])[rows].astype("<i8").tobytes(), x[rows].astype("<f8").tobytes(),
+                    np.array(held["node"])[rows].astype("<i8").tobytes(), np.array(held["copies"])[rows].astype("<i8").tobytes(), x[rows].astype(kind).tobytes(),
                 ]
                 made += 1
                 kinds = [pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -168,14 +169,14 @@ def linked(x: np.ndarray, y: np.ndarray, basis: dict[int, np.ndarray], threshold
         yield i[good], j[good]
 
 
-def _meet(basis, threshold: float):
+def _meet(basis, threshold: float, kind: str):
     """Pairs of tiles to (node, null, vectors linked to it) and edges (node, node, null)."""
 
     def run(batches):
         for batch in batches:
             for same, n, m, nodes_a, copies_a, vectors_a, nodes_b, copies_b, vectors_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, na, ca = np.frombuffer(vectors_a, "<f8").reshape(n, -1), np.frombuffer(nodes_a, "<i8"), np.frombuffer(copies_a, "<i8")
-                y, nb, cb = (x, na, ca) if same else (np.frombuffer(vectors_b, "<f8").reshape(m, -1), np.frombuffer(nodes_b, "<i8"), np.frombuffer(copies_b, "<i8"))
+                x, na, ca = np.frombuffer(vectors_a, kind).reshape(n, -1).astype(float), np.frombuffer(nodes_a, "<i8"), np.frombuffer(copies_a, "<i8")
+                y, nb, cb = (x, na, ca) if same else (np.frombuffer(vectors_b, kind).reshape(m, -1).astype(float), np.frombuffer(nodes_b, "<i8"), np.frombuffer(copies_b, "<i8"))
                 to_a, to_b = np.zeros(n, np.int64), np.zeros(len(y), np.int64)
                 shift = 0 if same else n
                 label = np.arange(n + (0 if same else m))
@@ -217,14 +218,17 @@ def near_duplicates(
     count as larger than any. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    # single-precision components stay so until they are compared: half the bytes, the same numbers
+    single = isinstance(vectors.select(vec_col).schema[0].dataType.elementType, FloatType)
+    kind, stored = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(stored).alias("v"))
     rows = rows.withColumn("grp", F.when(_valid("v", "label"), F.concat(F.size("v").cast("string"), F.lit(":"), F.col("label").cast("string"))))
     nodes = rows.where("grp IS NOT NULL").groupBy("grp", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written: the numbers stay
     basis = spark.sparkContext.broadcast(axes(nodes))
     lead = staged(nodes.select("node", "v").transform(mapped, _leading(basis), "node long, lead double"), "leads")
     dealt = nodes.join(lead, "node").repartitionByRange("grp", "lead").sortWithinPartitions("grp", "lead")
-    tiles = staged(dealt.select("grp", "node", "copies", "v").transform(mapped, _tiles(basis, tile), _TILES), "tiles")
+    tiles = staged(dealt.select("grp", "node", "copies", "v").transform(mapped, _tiles(basis, tile, kind), _TILES), "tiles")
 
     box = tiles.select("tile", "grp", "low", "high")
     a, b = box.select(*[F.col(c).alias(f"{c}_a") for c in box.columns]), box.select(*[F.col(c).alias(f"{c}_b") for c in box.columns])
@@ -236,7 +240,7 @@ def near_duplicates(
     for side in "ab":
         pairs = pairs.join(body.select(*[F.col(c).alias(f"{c}_{side}") for c in body.columns]), f"tile_{side}")
     meetings = pairs.select((F.col("tile_a") == F.col("tile_b")).alias("same"), "n_a", "n_b", *[f"{c}_{s}" for s in "ab" for c in ("nodes", "copies", "vectors")])
-    found = staged(meetings.transform(mapped, _meet(basis, threshold), _FOUND), "links")
+    found = staged(meetings.transform(mapped, _meet(basis, threshold, kind), _FOUND), "links")
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     grouped = components(found.where("b IS NOT NULL").select("a", "b"))

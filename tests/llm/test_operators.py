@@ -281,6 +281,12 @@ def test_embeddings(spark):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+    # single precision: the numbers are the rounded ones
+    small = [(k, np.float32(v).tolist(), 1) for k, v in enumerate(x)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in small]
+    links = [(a, b) for a in range(len(x)) for b in range(len(x)) if a != b and unit[a] @ unit[b] >= 0.98]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(small, "vec_id long, embedding array<float>, label int"), tile=9).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, sum(a == k for a, _ in links), c) for k, c in enumerate(roots(len(x), links))]
 
 
 # token files
