@@ -173,10 +173,18 @@ def groups(prints: DataFrame, threshold: int = 4) -> DataFrame:
 
     Null ids count as larger than any; a component of null ids alone has a null id.
     """
+    return least_ids(rooted_prints(prints, threshold))
+
+
+def rooted_prints(prints: DataFrame, threshold: int = 4) -> DataFrame:
+    """(print, first, root): each fingerprint's smallest id and the smallest fingerprint of its component."""
     nodes = staged(prints.groupBy("print").agg(F.min("id").alias("first")), "prints")
     joined = components(links(nodes.select("print"), threshold))
     rooted = nodes.join(joined, nodes["print"] == joined["node"], "left").select("print", "first", F.coalesce("component", "print").alias("root"))
-    rooted = staged(rooted, "rooted")
+    return staged(rooted, "rooted")
+
+
+def least_ids(rooted: DataFrame) -> DataFrame:
     least = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
     return rooted.join(least, "root").select("print", "component_id")
 
@@ -199,7 +207,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that share this id are told apart by their fingerprints and then by their texts.
     """
     prints = staged(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    found = staged(prints.join(groups(prints, threshold), "print"), "components")
+    return kept_rows(docs, id_col, text_col, prints, rooted_prints(prints, threshold), _fingerprints(words, seed))
+
+
+def kept_rows(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, rooted: DataFrame, printer) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each root; ``printer`` makes (key, text) to (key, print)."""
+    found = staged(prints.join(least_ids(rooted), "print"), "components")
     first = staged(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n")), "kept")
     single = first.where("n = 1 AND id IS NOT NULL").select(F.col("id").alias("_kept_id"))
     plain = docs.join(single, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
@@ -211,26 +224,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(shared, F.col("_id").eqNullSafe(F.col("id")), "left_semi")
     rows = rows.withColumn("_json", F.to_json("_row")).withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("_text"), F.lit("")), "_json"), 256))
     rows = staged(rows, "shared-ids")
-    keyed = rows.select("_key", "_text").distinct().transform(mapped, _fingerprints(words, seed), "_key string, print long")
+    keyed = rows.select("_key", "_text").distinct().transform(mapped, printer, "_key string, print long")
     where = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("print", "component_id", "id").distinct()
     best = rows.join(keyed, "_key").join(where, (rows["_id"].eqNullSafe(where["id"])) & (keyed["print"] == where["print"]))
     roots = best.select("_row", "_key", "component_id", keyed["print"])
     if not shared.where("id IS NULL").isEmpty():
         # components without any id: one row of each root
-        named = groups_by_root(prints, threshold)
-        roots = roots.join(named, "print")
+        roots = roots.join(rooted.select("print", "root"), "print")
     else:
         roots = roots.withColumn("root", F.lit(None).cast("long"))
     one = roots.groupBy("component_id", "root").agg(F.min_by("_row", "_key").alias("_row"))
     return plain.unionByName(one.select("_row.*").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
-def groups_by_root(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """(print, root): the smallest fingerprint of the component that a fingerprint is in."""
-    nodes = staged(prints.select("print").distinct(), "prints")
-    joined = components(links(nodes, threshold))
-    return nodes.join(joined, nodes["print"] == joined["node"], "left").select("print", F.coalesce("component", "print").alias("root"))
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
