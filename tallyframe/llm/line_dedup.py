@@ -146,12 +146,26 @@ class LineIndex:
     def over(self) -> DataFrame:
         return self.refs.where(F.col("docs") >= self.threshold).select("key")
 
+    def maybe_over(self, found: DataFrame) -> DataFrame:
+        """Of (name, key) the rows whose key is in its shard's filter: all that are over, few others.
+
+        A shard's keys are cut into slices, each with a copy of the filter, so that there are about
+        as many pieces as shuffle partitions.
+        """
+        slices = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // self.shards)
+        dealt = found.select(_shard_column(self.shards), F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast("binary").alias("filter"), "name", "key")
+        none = F.lit(None)
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "filter", none.cast("string").alias("name"), none.cast("binary").alias("key"))
+        rows = dealt.unionAll(filters).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("filter").isNull())
+        return rows.transform(mapped, _passing, "name string, key binary")
+
     def strip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
         """Each row's id, n_lines, n_dropped and kept_text.
 
         Null and empty texts are one empty line, which is never dropped. Filters and exact
-        keys go to every worker if they are under ``sent_bytes``; beyond that, lines that
-        may be over the threshold meet the exact table in a shuffled join.
+        keys go to every worker if they are under ``sent_bytes``; beyond that, line keys are
+        dealt to their shards' filters, and those that pass meet the exact table in a
+        shuffled join.
         """
         slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
         schema = f"`{id_col}` long, {_STRIPPED}"
@@ -164,7 +178,7 @@ class LineIndex:
             return slim.transform(mapped, _strip_sent(id_col, self.shards, self.min_chars, filters, exact), schema)
         named = slim.select("*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
         found = named.select("name", "text").transform(mapped, _keys_of(self.min_chars), "name string, key binary")
-        found = found.join(keys, "key", "left_semi").distinct().groupBy("name").agg(F.collect_list("key").alias("keys"))
+        found = self.maybe_over(found).join(keys, "key", "left_semi").distinct().groupBy("name").agg(F.collect_list("key").alias("keys"))
         return named.join(found, "name", "left").select(id_col, "text", "keys").transform(mapped, _strip_joined(id_col, self.min_chars), schema)
 
 
@@ -206,6 +220,20 @@ def _keys_of(min_chars: int):
     return run
 
 
+def _passing(batches):
+    """Rows (shard, slice, filter, name, key), each piece's filter before its keys, to those in the filter."""
+    mark, f = None, None
+    for batch in batches:
+        names, keys = [], []
+        for shard, piece, raw, name, key in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if raw is not None:
+                mark, f = (shard, piece), CuckooFilter.from_bytes(raw)
+            elif mark == (shard, piece) and key in f:
+                names.append(name)
+                keys.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.binary())], names=["name", "key"])
+
+
 def _strip_joined(id_col: str, min_chars: int):
     def run(batches):
         for batch in batches:
