@@ -29,19 +29,32 @@ _HEAD = struct.Struct("<4sIQII")
 
 
 def _steps(values: np.ndarray) -> np.ndarray:
-    """For each position the selector that packs most of the values from there on."""
+    """For each position the selector that packs most of the values from there on.
+
+    Values that fit a selector fit the next one, of fewer and wider values, so the number of
+    selectors that fit says which is the first. The largest of each run of values comes from
+    two shorter runs; selectors too narrow for every run are passed over.
+    """
     n = len(values)
-    best = np.zeros(n, np.uint8)  # the escape
-    place = np.arange(n)
+    fitting = np.zeros(n, np.uint8)
+    if n and int(values.max()) < 1 << 32:
+        values = values.astype(np.uint32)
+    runs = {1: values}  # the largest of so many values from each position on
     for s in range(14, 0, -1):
-        count, width = _COUNTS[s], _WIDTHS[s]
-        fits = values < np.uint64(1 << int(width))
-        if count == 1:
-            best[fits] = s
-        elif n >= count and np.count_nonzero(fits) >= count:
-            wide = np.minimum.accumulate(np.where(fits, n, place)[::-1])[::-1]
-            best[wide - place >= count] = s
-    return best
+        count, limit = int(_COUNTS[s]), 1 << int(_WIDTHS[s])
+        if count > n:
+            break
+        if count not in runs:
+            half = next(k for k in sorted(runs, reverse=True) if k < count)
+            while 2 * half < count:
+                runs[2 * half] = np.maximum(runs[half][: n - 2 * half + 1], runs[half][half:])
+                half *= 2
+            runs[count] = np.maximum(runs[half][: n - count + 1], runs[half][count - half : n - half + 1])
+        fits = runs[count] < limit if limit < 1 << 32 or values.dtype == np.uint64 else np.ones(n - count + 1, bool)
+        if not fits.any():
+            break
+        fitting[: n - count + 1] += fits
+    return np.where(fitting > 0, 15 - fitting, 0).astype(np.uint8)
 
 
 def _block(values: np.ndarray, escapes: list[int]) -> np.ndarray:

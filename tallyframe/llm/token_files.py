@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +21,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Remembered, mapped, resident, shared_dir, table
+from .common import mapped, resident, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
+#: Pieces remembered by a worker, for each of two generations; longer ones are not.
 REMEMBERED = 300_000
+_LONGEST_REMEMBERED = 64
 
 SEGMENTS = "shard int, segment long, ids_before long, n_ids long, doc_ids binary, doc_lengths binary, missing_ids binary, stream binary"
 
-# White space leads a piece; a word of plain letters ends before white space or a stop. The
-# tokenizer's own splitting never crosses these places, so pieces can be encoded alone.
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_CUT = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?;:]|$)|\s*\S+|\s+")
+#: Bytes of text that are cut and looked up together; a document may go over several such windows.
+WINDOW_BYTES = 4 << 20
+
+# A piece of one word of plain letters, which the tokenizer's own splitting leaves whole.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+# Classes of bytes, by which texts are cut. C3 to C5, D0 and D1 lead letters alone, but for two in C3.
+_SPACE, _LETTER, _ASCII_OTHER, _LEADS_TWO, _LEADS_LETTER = 1, 2, 4, 8, 16
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(9, 14), 32]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[*range(33, 65), *range(91, 97), *range(123, 127)]] = _ASCII_OTHER
+_CLASS[0xC3:0xE0] = _LEADS_TWO
+_CLASS[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] |= _LEADS_LETTER
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where UTF-8 text can be cut so that its pieces, encoded alone, give the ids of the whole: a flag for each byte.
+
+    The tokenizer's own splitting never crosses these: white space after what isn't, and
+    after a letter whatever is neither letter nor part of a longer character. Places that
+    are harder to judge are left out. Pieces are a word each for the most part.
+    """
+    kind = _CLASS[data]
+    now, before, two = kind[2:], kind[1:-1], kind[:-2]
+    ends = data[1:-1] & 0xC0 == 0x80  # the character before has two bytes if ``two`` leads two
+    sign = (data[:-2] == 0xC3) & ((data[1:-1] == 0x97) | (data[1:-1] == 0xB7))
+    letter = (before & _LETTER > 0) | ends & (two & _LEADS_LETTER > 0) & ~sign
+    full = (before & (_LETTER | _ASCII_OTHER) > 0) | ends & (two & _LEADS_TWO > 0)
+    out = np.zeros(len(data), bool)
+    out[2:] = (now & _SPACE > 0) & full | (now & _ASCII_OTHER > 0) & letter
+    if len(data) > 1 and kind[0] & (_LETTER | _ASCII_OTHER):
+        out[1] = kind[1] & _SPACE or kind[0] & _LETTER and kind[1] & _ASCII_OTHER
+    return out
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -55,37 +87,92 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class TextEncoder:
-    """The tokenizers library behind a bounded memory of word pieces."""
+    """The tokenizers library behind a bounded memory of pieces of text."""
 
-    def __init__(self, json_text: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, json_text: str, remembered: int = REMEMBERED, window_bytes: int = WINDOW_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_text)
         self.tokenizer.no_truncation()
-        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        # these the library and Python's white space treat differently, or they are tokens of their own
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
-        self.model, self.visible = self.tokenizer.model, _visible_bytes()
-        self.known = Remembered(self._ids, remembered)
-
-    def _packed(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, piece: str) -> bytes:
-        """One word of plain letters: nothing to split, so the library's model sees it at once."""
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))
-        return struct.pack(f"<{len(found)}I", *[x.id for x in found])
-
-    def _ids(self, piece: str) -> bytes:
-        return self._word(piece) if _WORD.fullmatch(piece) else self._packed(piece)
+        special = [re.escape(x.content.encode()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Tokens of their own, which a cut must not go through.
+        self.special = re.compile(b"|".join(special) or rb"(?!)")
+        self.model, self.visible, self.window_bytes, self.most = self.tokenizer.model, _visible_bytes(), window_bytes, remembered
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, piece: bytes) -> list[int]:
+        if _WORD.fullmatch(piece):  # nothing to split, so the library's model sees it at once
+            shown = piece.decode().replace(" ", self.visible[32]) if piece.isascii() else piece.decode("latin-1").translate(self.visible)
+            return [x.id for x in self.model.tokenize(shown)]
+        return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit integers, from memory or made now."""
+        known, old = self.known, self.old
+        missing = [p for p in pieces if p not in known]
+        if old:
+            known.update((p, old[p]) for p in missing if p in old)
+            missing = [p for p in missing if p not in known]
+        found = [self._ids(p) for p in missing]
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        flat = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4).tobytes()
+        new = {p: flat[a:b] for p, a, b in zip(missing, ends.tolist(), ends[1:].tolist(), strict=False)}
+        out = [known[p] if p in known else new[p] for p in pieces]
+        known.update((p, x) for p, x in new.items() if len(p) <= _LONGEST_REMEMBERED)
+        if len(known) > self.most:
+            self.known, self.old = {}, known
+        return out
+
+    def _window(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces of ``data``, which begin at ``places``, and how many each has."""
+        bounds = np.append(places, len(data)).astype("<i8")
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)]).dictionary_encode()
+        packed = self._packed(pieces.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts = np.cumsum(lengths) - lengths
+        which = pieces.indices.to_numpy()
+        each = lengths[which]
+        at = np.repeat(starts[which] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        return np.frombuffer(b"".join(packed), "<u4")[at], each
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow string array, as unsigned 32-bit integers; null counts as empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        whole = [(int(a), int(b)) for a, b in zip(bounds, bounds[1:], strict=False) if self.special.search(data[a:b])] if self.special.search(data) else []
+        ids, lengths, begins = [], [], []
+        low, size = 0, self.window_bytes
+        while low < len(data):
+            high = min(len(data), low + size)
+            here = cuts(data[low:high])
+            here[bounds[np.searchsorted(bounds, low) : np.searchsorted(bounds, high)] - low] = True
+            here[0] = True
+            places = np.flatnonzero(here)
+            for a, b in whole:  # no cuts inside texts with tokens of their own
+                places = places[(places + low <= a) | (places + low >= b)]
+            if high < len(data):  # the last piece may go on
+                if len(places) < 2:
+                    size *= 2
+                    continue
+                high, places = low + int(places[-1]), places[:-1]
+            found, each = self._window(np.ascontiguousarray(data[low:high]), places)
+            ids.append(found)
+            lengths.append(each)
+            begins.append(places + low)
+            low, size = high, self.window_bytes
+        if not ids:
+            return [np.zeros(0, "<u4")] * len(texts)
+        ids, lengths, begins = map(np.concatenate, (ids, lengths, begins))
+        upto = np.append(0, np.cumsum(lengths))[np.searchsorted(begins, bounds)]
+        return [ids[a:b] for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed as little-endian 32-bit integers."""
-        if self.whole.search(text):
-            return self._packed(text)
-        return b"".join(map(self.known.__getitem__, _CUT.findall(text)))
+        return self.encode_all(pa.array([text]))[0].tobytes()
 
 
 def encoder(json_text: str) -> TextEncoder:
@@ -95,13 +182,13 @@ def encoder(json_text: str) -> TextEncoder:
 
 def encoded(json_text: str, end_id: int | None):
     """Pairs of (id, ids) for Arrow batches of (id, text), in order."""
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches):
         e = encoder(json_text)
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield name, e.encode(text or "") + tail
+            for name, ids in zip(batch.column(0).to_pylist(), e.encode_all(batch.column(1)), strict=True):
+                yield name, ids.tobytes() + tail
 
     return run
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -295,7 +296,7 @@ def test_embeddings(spark):
 def test_simple8b():
     g = np.random.default_rng(0)
     for n in (0, 1, 2, 59, 60, 61, 5000):
-        for most in (1, 2, 300, 50_257, 2**33, 2**63):
+        for most in (1, 2, 300, 50_257, 2**32, 2**33, 2**61, 2**63):
             v = g.integers(0, most, n, dtype=np.uint64)
             v[g.random(n) < 0.3] = 0
             raw = simple8b.pack(v, 1000)
@@ -309,10 +310,15 @@ def test_token_files(spark, odd, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     t = tokenizers.Tokenizer.from_file(public.path(token_files.TOKENIZER))
     e, r = token_files.TextEncoder(token_files.tokenizer_json(), remembered=100), random.Random(2)
-    parts = [" ", "  ", "\n", "\t", "a", "the", "'s", "'re", "é", "ß", "日", "😀", "\x00", "<|endoftext|>", "1", ".", " ", "́", "x!", "\x1c", "\x85", "²", "÷", "ł", "ª"]
+    narrow = token_files.TextEncoder(token_files.tokenizer_json(), remembered=100, window_bytes=8)  # texts over many windows
+    parts = ["×", "Ж", "҂", "'", "-", " world", "\r\n", " ", "·", "ſ", " ", "  ", "\n", "\t", "a", "the", "'s", "'re", "é", "ß", "日", "😀", "\x00", "<|endoftext|>", "1", ".", " ", "́", "x!", "\x1c", "\x85", "²", "÷", "ł", "ª"]
     for _ in range(2000):
         x = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
-        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+        want = t.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == want == np.frombuffer(narrow.encode(x), "<u4").tolist()
+    many = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) if k % 9 else None for k in range(200)]
+    for got, x in zip(narrow.encode_all(pa.array(many, pa.string()).slice(3)), many[3:], strict=True):
+        assert got.tolist() == t.encode(x or "", add_special_tokens=False).ids
     path = f"file://{tmp_path}/tokens"
     token_files.write(odd, path, segment_ids=50)
     rows = sorted(awkward(), key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode()))
@@ -446,8 +452,6 @@ def model():
 
 
 def scores(model, texts):
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
     return [x for b in toxicity.scoring(model)(iter([batch])) for x in b.column(1).to_pylist()]
 
