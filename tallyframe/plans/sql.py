@@ -88,7 +88,7 @@ SELECT c_custkey, written, TRY_CAST(trim(regexp_replace(regexp_replace(written,
 SELECT row_id, {_key(COMPACT, 'description', 'amount')} AS base_fitid FROM d""",
     "fitid_occurrence": f"""WITH {EVENTS}, k AS (SELECT row_id, {_key(COMPACT, 'description', '10.0')} AS base_fitid FROM events_ledger),
 n AS (SELECT *, row_number() OVER (PARTITION BY base_fitid ORDER BY row_id) AS k FROM k) SELECT row_id, base_fitid, base_fitid || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS fitid FROM n""",
-    "text_clean": f"SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 1) THEN '' ELSE trim(substr(text, 1, 200), {_SPACE}) END AS clean FROM documents",
+    "text_clean": f"SELECT doc_id, trim(coalesce(text, ''), {_SPACE}) AS clean FROM documents",
     "sgml_sanitize": f"SELECT doc_id, substr({_SANITIZED}, 1, 32) AS name, substr({_SANITIZED}, 1, 255) AS memo FROM documents",
     "default_text": "SELECT p_partkey, CASE WHEN p_size < 10 OR p_name = '' THEN 'Transaction' ELSE p_name END AS description FROM part",
     "fixed_decimals": r"""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '-0.00' ELSE printf('%.2f', s_acctbal) END AS fixed,
