@@ -3,7 +3,9 @@
 A string's features are its subsequences of three characters, each occurrence weighing
 DECAY to the power of the stretch it spans; the kernel is the cosine of two such vectors.
 So an insult with a character put in or left out still shares most of its weight with the
-plain one. Stretches of over SPAN characters weigh nothing.
+plain one. Stretches of over SPAN characters weigh nothing: that is part of the kernel.
+The two borders of a word count as characters of their own, so that it matters whether a
+stem stands at the beginning of a word or inside it.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from itertools import combinations
 
 import numpy as np
 
-DECAY, SPAN, LONGEST = 0.9, 8, 24
+DECAY, SPAN, LONGEST = 0.8, 8, 24  # LONGEST without the borders
+BEGIN, END = "\x02", "\x03"
 
 
 @cache
@@ -31,6 +34,10 @@ def windows(word: str) -> list[str]:
     return [word[k : k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
+def bordered(word: str) -> str:
+    return BEGIN + word + END
+
+
 def features(word: str) -> dict[str, float]:
     """Unit vector of a word's subsequences."""
     at, weights = places(len(word))
@@ -70,6 +77,11 @@ class Landmarks:
         for m, f in enumerate(own):
             for key, w in f.items():
                 self.values[place[key], m] = w
+        # the same by key: which landmarks have it, and with what weight
+        key, self.who = np.nonzero(self.values)
+        self.weight = self.values[key, self.who]
+        self.ends = np.cumsum(np.bincount(key, minlength=len(self.values)))
+        self.begins = np.append(0, self.ends[:-1])
         self.most = self.values.max(axis=1)[self.row].astype(np.float32) if len(words) else np.zeros(self.base**3, np.float32)
 
     def _triples(self, words: list[str], n: int) -> np.ndarray:
@@ -87,7 +99,7 @@ class Landmarks:
         """
         by_length: dict[int, list[str]] = {}
         for w in words:
-            if 3 <= len(w) <= LONGEST:
+            if 3 <= len(w) <= LONGEST + 2:
                 by_length.setdefault(len(w), []).append(w)
         out = {}
         for n, same in by_length.items():
@@ -117,12 +129,12 @@ class Landmarks:
         fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
         sums = np.bincount(np.cumsum(fresh.ravel()) - 1, weights[order].ravel())
         norms = np.sqrt(np.bincount(np.nonzero(fresh)[0], sums**2, len(words)))
-        # products: only the subsequences that some landmark has
+        # products: only the subsequences that some landmark has, each with the landmarks that have it
         rows = self.row[triples]
-        who, which = np.nonzero(rows)
-        found = np.zeros((len(words), self.values.shape[1]))
-        if len(who):
-            products = self.values[rows[who, which]] * weights[which][:, None]
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            found[who[first]] = np.add.reduceat(products, first, axis=0)
+        word, which = np.nonzero(rows)
+        key = rows[word, which]
+        times = self.ends[key] - self.begins[key]
+        pair = np.repeat(self.begins[key] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        cell = np.repeat(word * len(self.words), times) + self.who[pair]
+        found = np.bincount(cell, np.repeat(weights[which], times) * self.weight[pair], len(words) * len(self.words)).reshape(len(words), -1)
         return found / norms[:, None]
