@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: Longer keys are not remembered.
 _LONGEST_REMEMBERED = 64
+#: Bytes of a batch that an operator's Python sees at once.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,6 +93,17 @@ def _begin(owner: str) -> None:
         _RESIDENT.clear()
         _RESIDENT["owner"] = owner
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what was freed goes back to the system
+            trim(0)
+
+
+def _slices(batches, most_bytes: int = BATCH_BYTES):
+    """The rows of Arrow batches in parts of about so many bytes; a row is never cut."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
@@ -99,7 +113,7 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
 
     def run(batches):
         _begin(owner)
-        yield from function(batches)
+        yield from function(_slices(batches))
 
     return df.mapInArrow(run, schema)
 
