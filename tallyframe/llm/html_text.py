@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block is described
-by its word count and link density, by those of its two neighbours, and by what its
-containers say of themselves. A decision tree, trained at call time on the blocks of a few
-small labelled pages, tells main text from the rest.
+by its word count and link density, by those of its two neighbours, and by what the innermost
+container that says what it is for says. A decision tree, trained at call time on the blocks
+of a few small labelled pages, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -28,16 +28,19 @@ SKIPPED = frozenset("script style noscript template iframe object svg math canva
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements and words of a class or id that say what a container is for.
-AROUND_TAGS = frozenset("nav header footer aside form menu dialog search".split())
+#: Elements, and words of a class or id, that say what a container is for.
+AROUND_TAGS = frozenset("nav footer aside menu dialog search".split())
 MAIN_TAGS = frozenset("article main".split())
 AROUND_WORDS = frozenset(
     "ad ads advert advertisement adsense banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget "
-    "cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus reply replies discussion share sharing social related "
-    "recommended newsletter subscribe subscription signup login search copyright legal disclaimer toolbar pagination pager skip".split()
+    "cookie cookies consent gdpr notice alert popup modal overlay share sharing social related "
+    "recommended newsletter subscribe subscription signup login search copyright legal disclaimer toolbar pagination pager skip contentinfo complementary".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus reply replies discussion respond".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
+#: A name that begins so says what a container has or lacks, not what it is.
+ABOUT_OTHERS = frozenset("has with without no is hide show".split())
 
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z) | <[!?][^>]*+(?:>|\Z) | <(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']|"[^"]*"|'[^']*')*+)> | <(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -46,6 +49,9 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+_SKIPPED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SKIPPED - RAW))})(?=[\s/>])[^>]*>?", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
     "in_around", "in_main", "page_has_main", "heading", "sentence_end",
@@ -53,29 +59,71 @@ FEATURES = (
 
 
 def _purpose(tag: str, attributes: str) -> str | None:
-    """What an element says it is for: around, main, hidden, head or nothing."""
-    names: set[str] = set()
+    """What an element says it is for: hidden, comment, around, weak (around by its names alone),
+    form, head, main, part (main by its names alone), or nothing. An article or main element
+    is what its tag says unless it is hidden or of comments."""
+    names: list[set[str]] = []
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
+            if key == "hidden" or key == "style" and _HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
                 return "hidden"
             if key in ("class", "id", "role"):
-                names |= {x.lower() for x in _WORDS.findall(value)}
-    if tag in AROUND_TAGS - {"header"} or names & AROUND_WORDS or {"navigation", "banner", "contentinfo", "complementary"} & names:
-        return "around"
+                names += [{w.lower() for w in words} for name in value.split() if (words := _WORDS.findall(name)) and words[0].lower() not in ABOUT_OTHERS]
     if tag in MAIN_TAGS:
-        return "main"
-    if tag == "header" or names & HEAD_WORDS:
+        return "comment" if any(x & COMMENT_WORDS and not x & MAIN_WORDS - {"body", "text"} for x in names) else "main"
+    if any(x & COMMENT_WORDS for x in names):
+        return "comment"
+    if tag in AROUND_TAGS:
+        return "around"
+    if tag == "form":
+        return "form"
+    weak, part = any(x & AROUND_WORDS for x in names), any(x & MAIN_WORDS and not x & (AROUND_WORDS | HEAD_WORDS) for x in names) and tag in ("div", "section", "td")
+    if weak and not part:
+        return "weak"
+    if tag == "header" or any(x & HEAD_WORDS for x in names):
         return "head"
-    return "main" if names & MAIN_WORDS and tag in ("div", "section", "td") else None
+    return "part" if part and not weak else None
+
+
+def _place(chain: list[tuple[str, int]], large_forms: set[int]) -> str | None:
+    """What a block's containers, from the outermost on, come to: main, around or nothing. Hidden
+    elements, comments and containers that are around by their tag hold all that is in them; an
+    article or main element outweighs containers that are around by name; a form that holds most
+    of the page says nothing; the head of main text belongs to it."""
+    place = None
+    for purpose, number in chain:
+        if purpose in ("hidden", "comment", "around") or purpose == "form" and number not in large_forms:
+            return "around"
+        if purpose == "main":
+            place = "main"
+        elif purpose == "weak":
+            place = "weak"
+        elif purpose == "head":
+            place = place or "weak"
+        elif purpose == "part" and place != "weak":
+            place = "main"
+    return "around" if place == "weak" else place
+
+
+def _ends(html: str) -> dict[int, int]:
+    """For each skipped element that is closed where its content begins and where what follows it does."""
+    opened: dict[str, list[int]] = {}
+    out = {}
+    for m in _SKIPPED_TAG.finditer(html):
+        tag = m[2].lower()
+        if not m[1]:
+            opened.setdefault(tag, []).append(m.end())
+        elif opened.get(tag):
+            out[opened[tag].pop()] = m.end()
+    return out
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "place", "heading")
+    __slots__ = ("text", "words", "linked", "chain", "place", "heading")
 
-    def __init__(self, text: str, linked: int, place: str | None, heading: bool) -> None:
-        self.text, self.linked, self.place, self.heading = text, linked, place, heading
+    def __init__(self, text: str, linked: int, chain: list[tuple[str, int]], heading: bool) -> None:
+        self.text, self.linked, self.chain, self.heading, self.place = text, linked, chain, heading, None
         self.words = text.count(" ") + 1
 
 
@@ -83,24 +131,24 @@ def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order: character references decoded, white space turned
     into single spaces, trimmed, none empty."""
     out: list[Block] = []
-    # open elements: (tag, place), place being what the innermost container that says so is for
-    stack: list[tuple[str, str | None]] = []
+    # open elements: tag, and the purposes of those around it and itself, with their numbers
+    stack: list[tuple[str, list[tuple[str, int]]]] = []
     texts: list[tuple[str, bool]] = []
-    in_link, skipping = False, None
+    in_link, muted, number, ends = False, False, 0, _ends(html)
 
     def close() -> None:
         if texts:
             text = " ".join(unescape("".join(t for t, _ in texts)).split())
             if text:
                 linked = sum(len(unescape(t).split()) for t, a in texts if a)
-                out.append(Block(text, linked, stack[-1][1] if stack else None, any(t in HEADINGS for t, _ in stack[-2:])))
+                out.append(Block(text, linked, stack[-1][1] if stack else [], any(t in HEADINGS for t, _ in stack[-2:])))
             texts.clear()
 
     at, end = 0, len(html)
     while at < end:
         m = _TAG.search(html, at)
         start = m.start() if m else end
-        if start > at and skipping is None:
+        if start > at and not muted:
             texts.append((html[at:start], in_link))
         if not m:
             break
@@ -109,10 +157,6 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skipping is not None:
-            if closing and tag == skipping:
-                skipping = None
-            continue
         if tag in SKIPPED:
             if closing or attributes.endswith("/") and tag not in RAW:
                 continue
@@ -123,10 +167,10 @@ def blocks(html: str) -> list[Block]:
                     at = at + 1 if at >= 0 else end
                 elif tag not in ("title", "textarea", "noscript"):
                     at = end
-            elif tag == "option":
-                continue
-            else:
-                skipping = tag
+            elif at in ends:
+                at = ends[at]
+            elif tag != "option":
+                muted = True  # never closed: up to the next block
             continue
         if tag == "a":
             in_link = not closing
@@ -134,6 +178,7 @@ def blocks(html: str) -> list[Block]:
             texts.append((" " if tag == "br" else "", in_link))
         elif tag in BLOCK:
             close()
+            muted = False
             # a paragraph or heading ends where any block begins or ends
             while stack and stack[-1][0] == "p" or not closing and stack and stack[-1][0] in HEADINGS:
                 stack.pop()
@@ -150,16 +195,19 @@ def blocks(html: str) -> list[Block]:
                             break
                         if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
                             break
-                outer = stack[-1][1] if stack else None
-                own = _purpose(tag, attributes) if tag not in ("html", "body") else None
-                if tag == "head":
-                    own = "hidden"
-                if own == "head":  # the head of an article belongs to it
-                    own = outer or "around"
-                if outer == "hidden" or outer == "around" and own == "main" and tag not in MAIN_TAGS:
-                    own = outer
-                stack.append((tag, own or outer))
+                outer = stack[-1][1] if stack else []
+                own = "hidden" if tag == "head" else _purpose(tag, attributes) if tag not in ("html", "body") else None
+                number += 1
+                stack.append((tag, [*outer, (own, number)] if own else outer))
     close()
+    words: dict[int, int] = {}
+    for b in out:
+        for purpose, k in b.chain:
+            if purpose == "form":
+                words[k] = words.get(k, 0) + b.words
+    large = {k for k, n in words.items() if 2 * n > sum(b.words for b in out)}
+    for b in out:
+        b.place = _place(b.chain, large)
     return out
 
 
@@ -170,7 +218,7 @@ def features(found: list[Block]) -> list[tuple]:
     rows = []
     for k, b in enumerate(found):
         before, after = size[k - 1] if k else (0, 0.0), size[k + 1] if k + 1 < len(found) else (0, 0.0)
-        around = float(b.place in ("around", "hidden"))
+        around = float(b.place == "around")
         rows.append((*size[k], *before, *after, around, float(b.place == "main"), has_main, float(b.heading), float(b.text[-1] in ".!?…:。\"”»")))
     return rows
 
@@ -233,6 +281,21 @@ def labelled_pages() -> list[str]:
     out.append(f"<div class='menu'><span>{_say(24)}</span></div>{p(33)}{p(26)}<div class='footer'>{_say(40)}.</div>")
     out.append(f"<h1>keep {_say(3)}</h1>{p(20)}<h2>keep {_say(2)}</h2>{p(25)}")
     out.append(f"{p(12)}")
+    # short blocks of the same size: among links they are labels, among text they are text
+    label = f"<div><a href='/'>{_say(6)}</a></div><div>{_say(3)}</div><div><a href='/'>{_say(6)}</a></div>"
+    for n in (5, 6, 7, 30):
+        out.append(f"{label}{p(n)}{p(3, '')}{p(n)}{p(3, '')}{p(n)}{label}")
+    for n in (12, 40):
+        out.append(f"<div class='notice'>{_say(n)}.</div><ul>{link(5)}</ul>{p(30)}{p(44)}<div class='ad'>{_say(n + 8)}.</div><div><a href='/'>{_say(3)}</a></div>")
+        out.append(f"<ul>{link(5)}</ul><aside><p>{_say(n)}.</p></aside><ul>{link(5)}</ul><h1>keep {_say(4)}</h1>{p(36)}<footer>{_say(n)}</footer><ul>{link(3)}</ul>")
+    # containers that say what they are for, whatever stands next to them
+    befores = [f"<nav><ul>{link(4)}</ul></nav>", f"<div class='ad'>{_say(90)}.</div>", f"<header><p>{_say(12)}</p></header>", f"<div><a href='/'>{_say(3)}</a></div>"]
+    afters = [f"<footer>{_say(2)}</footer>", f"<aside><p>{_say(60)}.</p></aside>", f"<ul>{link(5, 3)}</ul>", f"<div class='comments'><p>{_say(30)}.</p><p>{_say(3)}</p></div>"]
+    sizes = [(40, 55, 30), (3, 80, 1), (12, 2, 150), (1,), (6, 6, 6), (90,), (2, 3, 4)]
+    for k, own in enumerate(sizes):
+        for j, (begin, end) in enumerate([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>")]):
+            linked = f"<p><a href='/x'>keep {_say(k + 1)}</a></p>" if (k + j) % 2 else ""
+            out.append(f"{befores[(k + j) % 4]}{begin}{linked}{''.join(p(n, '.' if n > 2 else '') for n in own)}{linked}{end}{afters[(k + 2 * j) % 4]}")
     return out
 
 
@@ -262,8 +325,10 @@ def _extract(tree):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree=None) -> DataFrame:
     """page_id, url, text and n_chars for each row.
 
-    Null html counts as empty; its text is empty, as is that of a page without main text.
-    Rows may repeat; other columns are not read; an empty table gives no rows.
+    Null html counts as empty; its text is empty, as is that of a page without main text. Pages
+    of any length are read whole. Rows that repeat, or share an id, have a row each; ids and
+    urls may be null; other columns, whatever their names, are not read; an empty table gives
+    no rows.
     """
     slim = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     return slim.transform(mapped, _extract(tree if tree is not None else trained()), "page_id long, url string, text string, n_chars long")
