@@ -1,11 +1,13 @@
 """Exact dedup by Patricia-trie owners.
 
-Map side: each task puts its normalised byte strings into a compressed radix trie whose
-terminal nodes hold the smallest id and a count, so a text leaves a task once however many
-copies the task saw. A trie over its byte budget spills its heaviest subtree downstream as
-partial rows. Owner side: rows are dealt by (length, content hash) and sorted, an owner
-inserts the full byte strings of one (length, hash) run into a trie and compares bytes, not
-hashes; subtrees that lie before the current key are complete and are spilled first.
+Map side: each task puts its normalised byte strings into a compressed radix trie, so a
+text leaves a task once, as a part with the ids of all its copies there, however many these
+are. A trie over its byte budget spills its heaviest subtree downstream. Owner side: parts
+are dealt by (length, content hash) and sorted by their bytes, so an owner's trie fills from
+left to right: over its budget it spills the subtrees that lie before the current key,
+as these are complete. Terminal nodes hold the smallest id, the number of copies and the parts
+they come from, and an owner tells each of those parts what it found. Texts are
+equal if their bytes lead to the same node; hashes only deal them out.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +25,12 @@ from .common import WS_CLASS, binary, mapped, squeeze, staged, table
 
 #: Bytes of text that one trie holds before it spills a subtree.
 TRIE_BYTES = 32 << 20
-_EMIT_BYTES = 4 << 20
+#: Ids that a row of parts holds; a part with more has several rows.
+PART_IDS = 4096
+_EMIT_BYTES, _EMIT_ROWS = 4 << 20, 16_384
 
-_PARTIAL = "n_bytes long, content_hash long, body binary, keep_id long, copies long"
-_OWNED = "n_bytes long, text_sha256 string, keep_id long, group_size long"
+_PARTS = "tag long, chunk int, n_bytes long, content_hash long, body binary, keep_id long, copies long, ids array<long>"
+_OWNED = "tag long, n_bytes long, text_sha256 string, keep_id long, keep_tag long, group_size long"
 
 
 def least(a: int | None, b: int | None) -> int | None:
@@ -48,185 +53,202 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
 
 
 class PatriciaTrie:
-    """Compressed radix trie over byte strings. A node is [label, children by first byte,
-    smallest id, count]; a count over 0 marks a terminal node."""
+    """Compressed radix trie over byte strings. A node is [label, children by first byte, what
+    the terminal node holds or None]."""
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None, 0]
+        self.root: list = [b"", {}, None]
         self.bytes = 0
-        self.weight: dict[int, int] = {}  # bytes below each child of the root
+        self.weight: dict[int | None, int] = {}  # bytes below each child of the root
 
-    def insert(self, key: bytes, ident: int | None, count: int = 1) -> None:
+    def terminal(self, key: bytes) -> list:
+        """The node of ``key``, made if it isn't there."""
         node, at = self.root, 0
         while at < len(key):
             child = node[1].get(key[at])
             if child is None:
-                child = [key[at:], {}, None, 0]
+                child = [key[at:], {}, None]
                 node[1][key[at]] = child
-                self._grow(key[0], len(key) - at)
-                node, at = child, len(key)
-                break
+                self.grow(key, len(key) - at + 200)  # with a node's own objects
+                return child
             n = _shared(child[0], key, at)
             if n < len(child[0]):
-                upper = [child[0][:n], {child[0][n]: child}, None, 0]
+                upper = [child[0][:n], {child[0][n]: child}, None]
                 child[0] = child[0][n:]
                 node[1][key[at]] = child = upper
             node, at = child, at + n
-        node[2] = ident if not node[3] else least(node[2], ident)
-        node[3] += count
+        return node
 
-    def _grow(self, first: int, n: int) -> None:
-        n += 200  # a node's own objects
+    def grow(self, key: bytes, n: int) -> None:
+        first = key[0] if key else None
         self.bytes += n
         self.weight[first] = self.weight.get(first, 0) + n
 
-    def _below(self, node: list, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    def _below(self, node: list, prefix: bytes) -> Iterator[tuple[bytes, list]]:
         stack = [(node, prefix)]
         while stack:
             node, prefix = stack.pop()
             whole = prefix + node[0]
-            if node[3]:
-                yield whole, node[2], node[3]
+            if node[2] is not None:
+                yield whole, node[2]
             stack += [(x, whole) for x in node[1].values()]
 
-    def terminals(self) -> Iterator[tuple[bytes, int | None, int]]:
+    def terminals(self) -> Iterator[tuple[bytes, list]]:
         yield from self._below(self.root, b"")
 
-    def spill(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """Take out the heaviest subtree below the root and yield its terminal nodes."""
+    def spill(self) -> Iterator[tuple[bytes, list]]:
+        """Take out the heaviest subtree below the root, or the empty string, and yield what it holds."""
         if self.weight:
             first = max(self.weight, key=self.weight.get)
             self.bytes -= self.weight.pop(first)
-            yield from self._below(self.root[1].pop(first), b"")
+            if first is None:
+                held, self.root[2] = self.root[2], None
+                yield b"", held
+            else:
+                yield from self._below(self.root[1].pop(first), b"")
 
-    def spill_before(self, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    def spill_before(self, key: bytes) -> Iterator[tuple[bytes, list]]:
         """For keys that arrive in order: yield and drop all that isn't ``key`` itself."""
         mine = None
         for found in self.terminals():
             if found[0] == key:
-                mine = found
+                mine = found[1]
             else:
                 yield found
         self.__init__()
-        if mine:
-            self.insert(*mine)
-
-
-def _partial(rows: list[tuple]) -> pa.RecordBatch:
-    bodies = [r[0] for r in rows]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([len(b) for b in bodies], pa.int64()),
-            pa.array([xxhash.xxh64_intdigest(b) - (1 << 63) for b in bodies], pa.int64()),
-            pa.array(bodies, pa.binary()),
-            pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.int64()),
-        ],
-        names=["n_bytes", "content_hash", "body", "keep_id", "copies"],
-    )
-
-
-def _in_batches(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
-    for x in found:
-        rows.append(x)
-        size += len(x[0])
-        if size > _EMIT_BYTES:
-            yield _partial(rows)
-            rows, size = [], 0
-    if rows:
-        yield _partial(rows)
+        if mine is not None:
+            self.terminal(key)[2] = mine
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def combine(trie_bytes: int):
-    """Map side: a task's texts through one trie."""
+def combine(trie_bytes: int, part_ids: int):
+    """Map side: a task's texts through one trie, to parts. The smallest id of a part comes first."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches):
-        trie = PatriciaTrie()
+        task, made, trie = TaskContext.get().partitionId(), 0, PatriciaTrie()
+
+        def parts(found):
+            nonlocal made
+            rows, size = [], 0
+            for body, ids in found:
+                tag, made = task << 33 | made, made + 1
+                first = min(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
+                ids[0], ids[first] = ids[first], ids[0]
+                rows.append((tag, 0, len(body), xxhash.xxh64_intdigest(body) - (1 << 63), body, ids[0], len(ids), ids[:part_ids]))
+                rows += [(tag, k // part_ids, None, None, None, None, None, ids[k : k + part_ids]) for k in range(part_ids, len(ids), part_ids)]
+                size += len(body) + 8 * len(ids)
+                if size > _EMIT_BYTES or len(rows) > _EMIT_ROWS:
+                    yield _batch(rows, kinds, _PARTS)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, kinds, _PARTS)
+
         for batch in batches:
             for ident, raw in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
-                trie.insert(squeeze(raw or b""), ident)
+                body = squeeze(raw or b"")
+                node = trie.terminal(body)
+                if node[2] is None:
+                    node[2] = []
+                node[2].append(ident)
+                trie.grow(body, 40)
                 while trie.bytes > trie_bytes:
-                    yield from _in_batches(trie.spill())
-        yield from _in_batches(trie.terminals())
+                    yield from parts(trie.spill())
+        yield from parts(trie.terminals())
 
     return run
 
 
 def own(trie_bytes: int):
-    """Owner side: runs of equal (length, hash), sorted by bytes within."""
-
-    def out(found):
-        rows = [(len(k), hashlib.sha256(k).hexdigest(), i, n) for k, i, n in found]
-        names = ["n_bytes", "text_sha256", "keep_id", "group_size"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
+    """Owner side: parts sorted by their bytes, through one trie, to a row for each part."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        trie, mark, ready = PatriciaTrie(), None, []
+        trie, rows = PatriciaTrie(), []
+
+        def told(found):
+            for body, (ident, first, copies, tags) in found:
+                digest = hashlib.sha256(body).hexdigest()
+                rows.extend((tag, len(body), digest, ident, first, copies) for tag in tags)
+
         for batch in batches:
-            cols = [batch.column(j).to_pylist() for j in (0, 1, 2, 3, 4)]
-            for n, h, body, ident, count in zip(*cols, strict=True):
-                if (n, h) != mark:
-                    ready += trie.terminals()
-                    trie, mark = PatriciaTrie(), (n, h)
-                trie.insert(body, ident, count)
+            for tag, body, ident, copies in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                node = trie.terminal(body)
+                if node[2] is None:
+                    node[2] = [ident, tag, 0, []]
+                held = node[2]
+                if (ident is None, ident or 0, tag) < (held[0] is None, held[0] or 0, held[1]):
+                    held[:2] = ident, tag
+                held[2] += copies
+                held[3].append(tag)
+                trie.grow(body, 40)
                 if trie.bytes > trie_bytes:
-                    ready += trie.spill_before(body)
-            if ready:
-                yield out(ready)
-                ready = []
-        if last := list(trie.terminals()):
-            yield out(last)
+                    told(trie.spill_before(body))
+                    for k in range(0, len(rows), _EMIT_ROWS):
+                        yield _batch(rows[k : k + _EMIT_ROWS], kinds, _OWNED)
+                    rows.clear()
+        told(trie.terminals())
+        for k in range(0, len(rows), _EMIT_ROWS):
+            yield _batch(rows[k : k + _EMIT_ROWS], kinds, _OWNED)
 
     return run
 
 
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """One row per different text: n_bytes, text_sha256, keep_id, group_size."""
+def parts_and_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The parts as written (tag, chunk, ids), and for each tag n_bytes, text_sha256, keep_id, keep_tag (the
+    part whose first id is kept) and group_size."""
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    parts = slim.transform(mapped, combine(trie_bytes), _PARTIAL)
-    dealt = parts.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash", "body")
-    return dealt.transform(mapped, own(trie_bytes), _OWNED)
+    parts = staged(slim.transform(mapped, combine(trie_bytes, PART_IDS), _PARTS), "parts")
+    dealt = parts.where("chunk = 0").repartition("n_bytes", "content_hash").sortWithinPartitions("body")
+    return parts.select("tag", "chunk", "ids"), dealt.select("tag", "body", "keep_id", "copies").transform(mapped, own(trie_bytes), _OWNED)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, rows: bool = False) -> DataFrame:
-    """(_id, _n, _sha) of each row, and with ``rows`` the row itself as _row."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS_CLASS, " ")
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if rows else []
-    slim = docs.select(*whole, F.col(id_col).cast("long").alias("_id"), norm.alias("_norm"))
-    return slim.select(*["_row"] * rows, "_id", F.octet_length("_norm").cast("long").alias("_n"), F.sha2("_norm", 256).alias("_sha"))
+def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """One row per different text: n_bytes, text_sha256, keep_id, group_size."""
+    return parts_and_owners(docs, id_col, text_col, trie_bytes)[1].where("tag = keep_tag").select("n_bytes", "text_sha256", "keep_id", "group_size")
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its group: id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty. Null ids count as larger than any: keep_id is null only
-    when all ids of a group are. Rows that repeat both id and text are copies like any
-    other, so one of them is kept. An empty table gives no rows; further columns are ignored.
+    Null text counts as empty; long texts are compared whole. Null ids count as larger than
+    any: keep_id is null only when all ids of a group are. Rows that repeat both id and text
+    are copies like any other, so one of them is kept. An empty table gives no rows; further
+    columns, whatever their names, are not read.
     """
-    owner = staged(owners(docs, id_col, text_col), "owners")
-    ids = _keyed(docs, id_col, text_col).groupBy("_id", "_n", "_sha").agg(F.count("*").alias("_times"))
-    joined = ids.join(owner, (F.col("_sha") == F.col("text_sha256")) & (F.col("_n") == F.col("n_bytes")))
-    each = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_k"))
-    return each.select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_k") == 1)).alias("kept"), "text_sha256"
-    )
+    parts, owned = parts_and_owners(docs, id_col, text_col)
+    each = parts.join(owned, "tag").select("*", F.posexplode("ids").alias("_at", "_id"))
+    kept = (F.col("tag") == F.col("keep_tag")) & (F.col("chunk") == 0) & (F.col("_at") == 0)
+    return each.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: of equal texts the one with the smallest id."""
-    owner = staged(owners(docs, id_col, text_col), "owners").select("n_bytes", "text_sha256", "keep_id")
-    first = _keyed(docs, id_col, text_col, rows=True).join(
-        owner, (F.col("_sha") == F.col("text_sha256")) & (F.col("_n") == F.col("n_bytes")) & F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi"
-    )
-    again = staged(_keyed(docs, id_col, text_col).groupBy("_id", "_sha").count().where("count > 1").select("_sha"), "repeats")
-    if again.isEmpty():
-        return first.select("_row.*")
-    # rows that repeat id and text: any one of them
-    single = first.join(again.distinct(), "_sha", "left_anti").select("_row")
-    one = first.join(again.distinct(), "_sha", "left_semi").groupBy("_sha").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
-    return single.unionAll(one).select("_row.*")
+    """The rows that stay, with all their columns: of equal texts the one with the smallest id.
+
+    Nulls, repeats and empty tables are as in ``assign``; of rows that repeat id and text any
+    one stays. Other columns may have any names.
+    """
+    found = assign(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    found = staged(found.select(F.col("_id").alias("_kept"), "kept", "text_sha256"), "assigned")
+    rows_of = found.groupBy("_kept").agg(F.count("*").alias("_n"), F.max("kept").alias("_any"))
+    ids = staged(rows_of.where("_any"), "kept-ids")
+    ident, names = F.col(id_col).cast("long"), docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), ident.alias("_id"), F.col(text_col).alias("_text"))
+    plain = whole.join(ids.where("_n = 1 AND _kept IS NOT NULL"), F.col("_id") == F.col("_kept"), "left_semi").select("_row")
+    shared = ids.where("_n > 1 OR _kept IS NULL").select("_kept")
+    if shared.isEmpty():
+        return plain.select("_row.*")
+    # several rows with an id: told apart by their texts
+    norm = F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), WS_CLASS, " ")
+    wanted = found.where("kept").join(shared.withColumnRenamed("_kept", "_shared"), F.col("_kept").eqNullSafe(F.col("_shared")), "left_semi")
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("text_sha256"))
+    several = whole.join(shared, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row", "_id", F.sha2(norm, 256).alias("_sha")).join(wanted, same, "left_semi")
+    one = several.groupBy("_id", "_sha").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return plain.unionAll(one.select("_row")).select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
