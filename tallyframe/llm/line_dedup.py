@@ -3,8 +3,11 @@
 An index is two tables. ``refs`` has for each line key the number of documents that hold it,
 exactly. ``filters`` has for each shard of keys a cuckoo filter of those whose count reaches
 the threshold. Inserting documents adds to the counts and deleting documents subtracts;
-keys that cross the threshold enter or leave their shard's filter, and keys at zero go.
-Stripping looks each line up in its shard's filter first and only then in the exact table.
+keys that cross the threshold enter or leave their shard's filter, and keys at zero go. When
+there are too many keys for the shards, the filters are built anew with more of them.
+Stripping deals each text's line keys to their shards' filters. A key that its filter doesn't
+have is not over the threshold; only the few that a filter has by mistake are looked for in
+the exact table, by their difference from it.
 
 A key is a line without white space at its ends and with A-Z in lower case; tables hold its
 128-bit BLAKE2 digest. A document is a row: rows that repeat are documents of their own.
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import binary, mapped, staged, table
 from .cuckoo import CuckooFilter
 
-#: Keys of a shard's filter, and bytes of filters and of exact keys that may be sent to every worker.
+#: Keys of a shard's filter.
 SHARD_KEYS = 1 << 18
-SENT_BYTES = 8 << 20
 _HELD = 200_000  # keys that a task counts before it passes them on
+_SEEN = 20_000  # texts whose copies a task passes over
 KEY_BYTES = 16
 
 _COUNTS = "key binary, docs long"
@@ -109,32 +112,45 @@ def _update(key, filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes()]})
 
 
+def shards_for(keys: int) -> int:
+    """A power of two that leaves at most SHARD_KEYS keys to a shard on average."""
+    return 1 << max(0, (keys // SHARD_KEYS).bit_length())
+
+
+def _filters(refs: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """A filter for each shard that has keys over the threshold, and the number of shards."""
+    over = refs.where(F.col("docs") >= threshold)
+    shards = shards_for(over.count())
+    dealt = over.select(_shard_column(shards), "key").repartition("shard").sortWithinPartitions("shard")
+    return staged(dealt.transform(mapped, _build, "shard int, filter binary"), "line-filters"), shards
+
+
 @dataclass
 class LineIndex:
     """Reference counts and filters of a corpus; insert and delete return a new index."""
 
     refs: DataFrame
     filters: DataFrame
+    shards: int
     threshold: int
     min_chars: int
-    shards: int
 
     @classmethod
     def build(cls, docs: DataFrame, threshold: int = 10, min_chars: int = 1, text_col: str = "text") -> LineIndex:
+        """The index of all rows; null and empty texts are one empty line, whose key counts only if ``min_chars`` is 0."""
         refs = staged(references(docs, text_col, min_chars), "line-refs")
-        shards = 1 << max(0, (refs.where(F.col("docs") >= threshold).count() // SHARD_KEYS).bit_length())
-        over = refs.where(F.col("docs") >= threshold).select(_shard_column(shards), "key")
-        built = over.repartition("shard").sortWithinPartitions("shard").transform(mapped, _build, "shard int, filter binary")
-        return cls(refs, staged(built, "line-filters"), threshold, min_chars, shards)
+        return cls(refs, *_filters(refs, threshold), threshold, min_chars)
 
     def _changed(self, docs: DataFrame, sign: int, text_col: str) -> LineIndex:
         before = self.refs.select("key", F.col("docs").alias("was"), F.col("docs").alias("docs"))
         delta = references(docs, text_col, self.min_chars, sign).select("key", F.lit(0).cast("long").alias("was"), "docs")
         both = staged(before.unionAll(delta).groupBy("key").agg(F.sum("was").alias("was"), F.sum("docs").alias("docs")), "line-changes")
-        now, was = F.col("docs") >= self.threshold, F.col("was") >= self.threshold
+        refs, now, was = both.where("docs > 0").select("key", "docs"), F.col("docs") >= self.threshold, F.col("was") >= self.threshold
+        if shards_for(both.where(now).count()) > self.shards:
+            return LineIndex(refs, *_filters(refs, self.threshold), self.threshold, self.min_chars)
         moved = both.where(now | was).select(_shard_column(self.shards), "key", (now.cast("int") - was.cast("int")).alias("enters"))
         filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(_update, "shard int, filter binary")
-        return LineIndex(both.where("docs > 0").select("key", "docs"), staged(filters, "line-filters"), self.threshold, self.min_chars, self.shards)
+        return LineIndex(refs, staged(filters, "line-filters"), self.shards, self.threshold, self.min_chars)
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
         return self._changed(docs, 1, text_col)
@@ -149,37 +165,37 @@ class LineIndex:
     def maybe_over(self, found: DataFrame) -> DataFrame:
         """Of (name, key) the rows whose key is in its shard's filter: all that are over, few others.
 
-        A shard's keys are cut into slices, each with a copy of the filter, so that there are about
-        as many pieces as shuffle partitions.
+        A shard's rows are cut into slices, each with a copy of the filter, so that there are
+        about as many pieces as shuffle partitions, and rows of one key or one text are spread
+        over all slices of their shard.
         """
         slices = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // self.shards)
-        dealt = found.select(_shard_column(self.shards), F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast("binary").alias("filter"), "name", "key")
+        place = F.pmod(F.xxhash64("name", "key", F.spark_partition_id()), F.lit(slices)).cast("int")
+        dealt = found.select(_shard_column(self.shards), place.alias("slice"), F.lit(None).cast("binary").alias("filter"), "name", "key")
         none = F.lit(None)
-        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "filter", none.cast("string").alias("name"), none.cast("binary").alias("key"))
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "filter", none.cast("binary").alias("name"), none.cast("binary").alias("key"))
         rows = dealt.unionAll(filters).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("filter").isNull())
-        return rows.transform(mapped, _passing, "name string, key binary")
+        return rows.transform(mapped, _passing, "name binary, key binary")
+
+    def over_in(self, found: DataFrame) -> DataFrame:
+        """Of (name, key) the rows whose key is over the threshold: those that pass their filter, less its mistakes."""
+        passed = staged(self.maybe_over(found), "line-passed")
+        mistaken = passed.select("key").distinct().join(self.over(), "key", "left_anti")
+        return passed.join(mistaken, "key", "left_anti")
 
-    def strip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
+    def strip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Each row's id, n_lines, n_dropped and kept_text.
 
-        Null and empty texts are one empty line, which is never dropped. Filters and exact
-        keys go to every worker if they are under ``sent_bytes``; beyond that, line keys are
-        dealt to their shards' filters, and those that pass meet the exact table in a
-        shuffled join.
+        Null and empty texts are one empty line, which stays as it has no characters. Equal
+        texts, whatever their number and ids, are looked up once a task. Rows that repeat, share
+        an id or have none have a row each; long texts are read whole; other columns,
+        whatever their names, are not read; an empty table gives no rows.
         """
-        slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-        schema = f"`{id_col}` long, {_STRIPPED}"
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        keys = self.over()
-        if size + KEY_BYTES * keys.count() <= sent_bytes:
-            sc = docs.sparkSession.sparkContext
-            filters = sc.broadcast({r.shard: bytes(r.filter) for r in self.filters.toLocalIterator()})
-            exact = sc.broadcast(frozenset(bytes(r.key) for r in keys.toLocalIterator()))
-            return slim.transform(mapped, _strip_sent(id_col, self.shards, self.min_chars, filters, exact), schema)
-        named = slim.select("*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
-        found = named.select("name", "text").transform(mapped, _keys_of(self.min_chars), "name string, key binary")
-        found = self.maybe_over(found).join(keys, "key", "left_semi").distinct().groupBy("name").agg(F.collect_list("key").alias("keys"))
-        return named.join(found, "name", "left").select(id_col, "text", "keys").transform(mapped, _strip_joined(id_col, self.min_chars), schema)
+        slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        found = self.over_in(slim.select("text").transform(mapped, _keys_of(self.min_chars), "name binary, key binary"))
+        found = found.distinct().groupBy("name").agg(F.collect_list("key").alias("keys"))
+        named = slim.withColumn("name", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        return named.join(found, "name", "left").select("id", "text", "keys").transform(mapped, _strip(self.min_chars), f"id long, {_STRIPPED}").withColumnRenamed("id", id_col)
 
 
 def _drop(raw: bytes, min_chars: int, is_over) -> tuple[int, int, str]:
@@ -188,34 +204,24 @@ def _drop(raw: bytes, min_chars: int, is_over) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept).decode()
 
 
-def _stripped(id_col: str, ids, rows) -> pa.RecordBatch:
-    arrays = [ids, *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))]
-    return pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_lines", "n_dropped", "kept_text"])
-
-
-def _strip_sent(id_col: str, shards: int, min_chars: int, filters, exact):
-    def run(batches):
-        parts, keys = {s: CuckooFilter.from_bytes(x) for s, x in filters.value.items()}, exact.value
-
-        def is_over(key: bytes) -> bool:
-            f = parts.get(shard_of(key, shards))
-            return f is not None and key in f and key in keys
-
-        for batch in batches:
-            yield _stripped(id_col, batch.column(0), [_drop(raw or b"", min_chars, is_over) for raw in binary(batch.column(1))])
-
-    return run
-
-
 def _keys_of(min_chars: int):
+    """The different line keys of each text, under the text's name; copies in a task are passed over."""
+
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             names, keys = [], []
-            for name, raw in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
+            for raw in binary(batch.column(0)):
+                name = hashlib.md5(raw or b"").digest()
+                if name in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(name)
                 own = {line_key(x, min_chars) for x in (raw or b"").split(b"\n")} - {None}
                 names += [name] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.binary())], names=["name", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.binary())], names=["name", "key"])
 
     return run
 
@@ -231,19 +237,23 @@ def _passing(batches):
             elif mark == (shard, piece) and key in f:
                 names.append(name)
                 keys.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.binary())], names=["name", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.binary())], names=["name", "key"])
+
 
+def _strip(min_chars: int):
+    """(id, text, keys over the threshold or null) to what ``strip`` returns."""
 
-def _strip_joined(id_col: str, min_chars: int):
     def run(batches):
         for batch in batches:
-            rows = zip(binary(batch.column(1)), batch.column(2).to_pylist(), strict=True)
-            yield _stripped(id_col, batch.column(0), [_drop(raw or b"", min_chars, frozenset(keys or ()).__contains__) for raw, keys in rows])
+            rows = [_drop(raw or b"", min_chars, frozenset(keys or ()).__contains__) for raw, keys in zip(binary(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            arrays = [batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_lines", "n_dropped", "kept_text"])
 
     return run
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every document, as ``LineIndex.strip`` says."""
     docs = table(spark, sf_dir, "documents")
     out = LineIndex.build(docs, threshold=10, min_chars=1).strip(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
