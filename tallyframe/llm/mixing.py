@@ -17,8 +17,8 @@ from .common import WORD_CLASS, staged, table
 
 #: A target stops at so many times its source's size.
 MOST_TIMES = 3
-#: Rows that a key bucket is meant to hold.
-BUCKET_ROWS = 4096
+#: Rows that a key bucket is meant to hold, and quantiles of a source's keys between which buckets are of equal width.
+BUCKET_ROWS, QUANTILES = 4096, 64
 #: Weights by the sources' order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -62,6 +62,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times
     return rows.select("source", "source_size", F.round(F.least(F.col("_most"), F.coalesce(F.col("_w") * level, F.col("_most"))), 6).alias("target"))
 
 
+def _bucket(key: Column, steps: Column, buckets: Column) -> Column:
+    """A number that grows with the key: the key's place among the quantiles, and between two of them by distance."""
+    above = F.least(F.size(F.filter(steps, lambda c: c < key)), F.lit(QUANTILES)).cast("int")
+    low, high = F.get(steps, F.greatest(above - 1, F.lit(0))), F.get(steps, above)
+    inside = F.when(high > low, F.least(F.greatest((key - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    share = F.when(above > 0, (above - 1 + inside) / QUANTILES).otherwise(0.0)
+    return F.least(F.floor(share * buckets), buckets - 1).cast("long")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -87,18 +96,18 @@ def mix(
         (-F.ln(_uniform(ident, text, seed)) / rank).alias("_key"), F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"),
     )
     slim = staged(slim, "mix-keys")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    steps = [k / QUANTILES for k in range(QUANTILES + 1)]
+    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"), F.percentile_approx("_key", steps, 50 * QUANTILES).alias("_steps"))
     sums = staged(sums, "mix-sources")
-    counts = sums.select(F.col("source").alias("_s"), F.ceil(F.col("_rows") / float(BUCKET_ROWS)).cast("long").alias("_buckets"))
+    counts = sums.select(F.col("source").alias("_s"), F.ceil(F.col("_rows") / float(BUCKET_ROWS)).cast("long").alias("_buckets"), "_steps")
     plan = targets(sums, weights, most_times).join(counts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("_epochs", epochs).withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
     plan = staged(plan, "mix-plan")
 
-    # a bucket's number grows with the key, and buckets hold about equally many rows
-    bucket = F.least(F.floor((1.0 - F.exp(-F.col("_key") / 2.0)) * F.col("_buckets")), F.col("_buckets") - 1).cast("long")
+    bucket = _bucket(F.col("_key"), F.col("_steps"), F.col("_buckets"))
     of_source = F.col("source").eqNullSafe(F.col("_s"))
-    keyed = slim.join(plan.withColumnRenamed("source", "_s"), of_source).drop("_s").withColumn("_bucket", bucket)
+    keyed = slim.join(plan.withColumnRenamed("source", "_s"), of_source).drop("_s").withColumn("_bucket", bucket).drop("_steps")
     heaps = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_budget").alias("_budget"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     heaps = heaps.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
@@ -120,7 +129,12 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: a document taken twice stands twice."""
+    """The rows of ``docs`` as the mix takes them, with all their columns: a document taken twice stands twice.
+
+    Nulls, empty and long texts, ties and empty tables are as in ``mix``; rows that repeat
+    id, source and text are each taken as often as the one of them that is taken most.
+    Other columns may have any names.
+    """
     plan = mix(docs, id_col, text_col, source_col, **more).where("times > 0")
     times = plan.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_src"), "text_md5").agg(F.max("times").alias("_times"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_md5"))
