@@ -21,6 +21,7 @@ from .common import mapped, staged, table
 
 RANGE_BYTES, FANOUT = 1 << 16, 16
 RECORDS_AN_ARCHIVE = 10_000
+_NEXT = 10**15  # more than there are ranges of ids
 _CRLF = "\r\n"
 
 
@@ -128,20 +129,35 @@ def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
 
 def page_leaves(pages: DataFrame, record: Column, damaged: Column | None = None, lost: Column | None = None) -> DataFrame:
     """page_id, archive, offset, length, hash and replica_hash (null if lost) of pages in archives of
-    RECORDS_AN_ARCHIVE consecutive ids. Records follow one another by id, url and hash; those of
-    null ids have an archive of their own, -1. The replica holds records in the same places."""
+    RECORDS_AN_ARCHIVE consecutive ids. Records follow one another by id, url and hash; null ids
+    count as a range of their own, -1. The replica holds records in the same places.
+
+    Ids of a range that repeat, or null ids, may be more than an archive takes: such a range is
+    dealt by a hash to as many archives as it fills, the further ones numbered _NEXT apart.
+    Null and empty html make records with an empty body. An empty table gives no rows;
+    columns beside page_id, url and html are not read.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("_url"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"),
-        F.when(~(lost if lost is not None else F.lit(False)), F.sha2(damaged if damaged is not None else record, 256)).alias("replica_hash"),
+        F.when(~(lost if lost is not None else F.lit(False)), F.sha2(damaged if damaged is not None else record, 256)).alias("replica_hash"), F.spark_partition_id().alias("_part"),
     )
-    rows = rows.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / RECORDS_AN_ARCHIVE), F.lit(-1)))
+    block = F.coalesce(F.floor(F.col("page_id") / RECORDS_AN_ARCHIVE), F.lit(-1))
+    counts = pages.select(F.coalesce(F.floor(F.col("page_id").cast("long") / RECORDS_AN_ARCHIVE), F.lit(-1)).alias("_range")).groupBy("_range").agg(F.count("*").alias("_n"))
+    full = counts.where(F.col("_n") > RECORDS_AN_ARCHIVE).withColumn("_archives", F.ceil(F.col("_n") / RECORDS_AN_ARCHIVE).cast("long"))
+    rows = rows.withColumn("_range", block).join(full, "_range", "left")
+    further = F.coalesce(F.pmod(F.xxhash64("_url", "hash", "page_id", "_part"), F.col("_archives")), F.lit(0))
+    rows = rows.withColumn("archive", F.col("_range") + further * _NEXT)
     before = Window.partitionBy("archive").orderBy(F.col("page_id"), "_url", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_url")
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("page_id", "archive", "offset", "length", "hash", "replica_hash")
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as archive records, audited against a replica in which every record whose
-    id's CRC-32 is 1 modulo 97 has a byte changed and every one where it is 2 is lost."""
+    id's CRC-32 is 1 modulo 97 has a byte changed and every one where it is 2 is lost.
+
+    A row for each page, repeated ones too; nulls, long pages and empty tables are as in
+    ``page_leaves``. A null id's record is whole in the replica.
+    """
     mark = F.coalesce(F.crc32(F.col("page_id").cast("string")) % 97, F.lit(0))
     record = page_record(F.col("url"), F.col("html"), F.col("page_id"))
     # the first byte becomes another
