@@ -70,22 +70,48 @@ def squeezed(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-def test_trie_spills_and_keeps_the_smallest():
+def test_trie_spills_by_subtree():
     trie, r = exact_dedup.PatriciaTrie(), random.Random(1)
     keys = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(500)]
     found: dict[bytes, list] = {}
     for k, key in enumerate(keys):
-        trie.insert(key, None if k % 7 == 0 else k)
+        node = trie.terminal(key)
+        node[2] = [*(node[2] or []), k]
+        trie.grow(key, 40)
         if k % 50 == 49:
-            for x, i, n in trie.spill():
-                found.setdefault(x, []).append((i, n))
-    for x, i, n in trie.terminals():
-        found.setdefault(x, []).append((i, n))
-    for key in set(keys):
-        ids = [k for k, x in enumerate(keys) if x == key and k % 7]
-        got = [i for i, _ in found[key] if i is not None]
-        assert min(got, default=None) == min(ids, default=None)
-        assert sum(n for _, n in found[key]) == keys.count(key)
+            spilled = list(trie.spill())
+            assert len({x[:1] for x, _ in spilled}) == 1  # one subtree below the root
+            for x, ids in spilled:
+                found.setdefault(x, []).extend(ids)
+    for x, ids in trie.terminals():
+        found.setdefault(x, []).extend(ids)
+    assert {x: sorted(ids) for x, ids in found.items()} == {x: [k for k, y in enumerate(keys) if y == x] for x in set(keys)}
+    # nodes share what keys have in common
+    trie = exact_dedup.PatriciaTrie()
+    for key in (b"prefix-one", b"prefix-two", b"prefix"):
+        trie.terminal(key)[2] = [0]
+    assert list(trie.root[1]) == [ord("p")] and trie.root[1][ord("p")][0] == b"prefix" and {x for x, _ in trie.spill_before(b"prefix")} == {b"prefix-one", b"prefix-two"}
+    assert [x for x, _ in trie.terminals()] == [b"prefix"]
+
+
+@pytest.mark.parametrize("limit", [1, 400, 1 << 20])
+def test_owners_decide_by_bytes(limit):
+    """An owner sees no hash: parts that it is dealt are of one group if their bytes are the same."""
+    bodies = sorted([b"", b"a", b"ab", b"ab", b"abc", b"b", b"b", b"b"])
+    columns = [range(8), bodies, [5, 3, None, 9, 1, None, 4, 4], [1] * 8]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["tag", "body", "keep_id", "copies"])
+    got = sorted(tuple(r.values()) for b in exact_dedup.own(limit)(iter([batch.slice(0, 5), batch.slice(5)])) for r in b.to_pylist())
+    want = [(5, 0, 1), (3, 1, 1), (9, 3, 2), (9, 3, 2), (1, 4, 1), (4, 6, 3), (4, 6, 3), (4, 6, 3)]
+    assert got == [(k, len(x), hashlib.sha256(x).hexdigest(), *w) for k, (x, w) in enumerate(zip(bodies, want, strict=True))]
+
+
+def test_parts_with_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PART_IDS", 3)
+    rows = [(k if k % 5 else None, "same  text" if k % 2 else "same\ttext") for k in range(40, 0, -1)] + [(1, "same text")]
+    got = exact_dedup.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 41 and {(r.keep_id, r.group_size) for r in got} == {(1, 41)} and [r.doc_id for r in got if r.kept] == [1]
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, (i for i, _ in rows)))
 
 
 @pytest.mark.parametrize("limit", [1, 1 << 20])
@@ -131,10 +157,8 @@ def stripped(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("sent", [0, line_dedup.SENT_BYTES])
-def test_line_dedup(odd, sent):
-    index = line_dedup.LineIndex.build(odd, threshold=3)
-    got = index.strip(odd, sent_bytes=sent).collect()
+def test_line_dedup(odd):
+    got = line_dedup.LineIndex.build(odd, threshold=3).strip(odd).collect()
     assert sorted((r.n_lines, r.n_dropped, r.kept_text) for r in got) == sorted(stripped([t for _, t, *_ in awkward()], 3))
 
 
@@ -390,6 +414,16 @@ def test_mix_over_many_buckets(spark, monkeypatch):
     assert many == {r.doc_id: r.taken for r in mixing.mix(frame).collect()}
 
 
+@pytest.mark.parametrize("quality", [0.01, 1.0, 100.0, None])
+def test_buckets_are_small_whatever_the_quality(spark, quality):
+    mixed = F.when(F.col("id") % 2 == 0, 100.0).otherwise(0.01) if quality is None else F.lit(quality)
+    keys = spark.range(40_000).select((-F.ln(mixing._uniform(F.col("id"), F.lit(""), 42)) / mixed).alias("key"))
+    steps = keys.agg(F.percentile_approx("key", [k / mixing.QUANTILES for k in range(mixing.QUANTILES + 1)], 50 * mixing.QUANTILES).alias("steps"))
+    rows = keys.crossJoin(F.broadcast(steps)).withColumn("bucket", mixing._bucket(F.col("key"), F.col("steps"), F.lit(40)))
+    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("bucket").collect()
+    assert max(r.n for r in found) < 4_000 and all(a.high <= b.low for a, b in zip(found, found[1:], strict=False))
+
+
 # pages
 
 
@@ -409,6 +443,46 @@ def test_main_text():
     assert len(get(f"<article>{long * 3}</article>")) == 3 * (200_000 * 5 - 1) + 2
 
 
+def test_main_text_of_awkward_pages():
+    tree = html_text.trained()
+    get = lambda h: html_text.main_text(h, tree)
+    text = "This is a paragraph of the article, long enough to look like one of its own accord."
+    p, nav = f"<p>{text}</p>", '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+    one, two = text, f"{text}\n{text}"
+    assert get(f'{nav}<article class="post has-sidebar">{p}</article>') == one
+    assert get(f'{nav}<main class="content with-sidebar">{p}</main>') == one
+    assert get(f'<div class="layout sidebar-left"><article class="sidebar">{p}</article></div>') == one
+    assert get(f"<form>{nav}<h1>The title</h1>{p}{p}</form>") == get(f"<form>{nav}<article><h1>The title</h1>{p}{p}</article></form>") == f"The title\n{two}"
+    assert get(f"<article>{p}{p}<form><p>Your mail address, please</p></form></article>") == two
+    assert get(f"<article>{p}<button>Menu{p}{p}</article><footer><p>foot</p></footer>") == f"{text}\n{two}"
+    assert get(f"<article>{p}<button><div>Menu</div></button>{p}</article>") == two
+    assert get(f"<article>{p}<object>a<object>b</object>leak</object>{p}</article>") == two
+    assert get(f'<article>{p}<div class="post-comments"><article><p>I disagree, says a reader at length.</p></article></div></article>') == one
+    assert get(f'<article class="post no-comments">{p}</article>') == get(f"<main>{p}</main><aside><article>{p}</article></aside>") == one
+    assert get(f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header>{p}</article>") == f"Title\n{one}"
+    assert get("<button>" * 20_000 + f"<article>{p}</article>") == one
+
+
+def test_main_text_against_what_pages_were_made_of():
+    """Pages put together from known parts, with and without an element that says where the article is."""
+    tree, r = html_text.trained(), random.Random(8)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{k}">{say(r.randint(1, 3))}</a></li>' for k in range(n)) + "</ul>"
+    around = [
+        lambda: f"<nav>{links(r.randint(3, 9))}</nav>", lambda: f'<div class="ad">{say(r.randint(3, 40))}.</div>', lambda: f"<aside><h2>{say(2)}</h2><p>{say(r.randint(5, 60))}.</p></aside>",
+        lambda: f'<div id="cookie-notice"><p>{say(20)}.</p></div>', lambda: f"<form><p>{say(9)}</p><input></form>", lambda: f"<script>var x = '<p>{say(5)}</p>';</script>",
+        lambda: f'<section class="comments"><p>{say(30)}.</p><p>{say(4)}!</p></section>', lambda: f"<!-- {say(4)} -->",
+    ]
+    for k in range(300):
+        marked = k % 3 > 0
+        own = [say(r.randint(1, 90) if marked else r.randint(20, 90)) + "." for _ in range(r.randint(1, 8))]
+        body = "".join(f"<p>{t.replace(' ', r.choice([' ', chr(10), '  ']), 1)}" + r.choice(["</p>", "</p>\n", ""]) for t in own)
+        body = f"<article>{body}</article>" if marked else body
+        page = "<html><head><title>T</title></head><body>" + "".join(f() for f in r.sample(around, 3)) + body + "".join(f() for f in r.sample(around, 3)) + f"<footer><p>{say(25)}.</p></footer></body></html>"
+        assert html_text.main_text(page, tree) == "\n".join(own), page
+
+
 def test_extract(spark):
     frame = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>"), (2, None, None), (1, "u", "<article><p>x y</p></article>")], "page_id long, url string, html string")
     rows = html_text.extract(frame.selectExpr("*", "'x' AS text", "1 AS n_chars")).orderBy("page_id", "url").collect()
@@ -422,7 +496,8 @@ def test_extract(spark):
 def test_kernel_tolerates_gaps():
     k = subsequence.kernel
     assert k("idiot", "idiot") == pytest.approx(1.0)
-    assert k("idiot", "idxiot") > 0.6 > k("idiot", "indigo") and k("clown", "cloown") > 0.8 and k("abc", "xyz") == 0
+    assert k("idiot", "idxiot") > 0.5 > k("idiot", "indigo") and k("clown", "cloown") > 0.8 and k("abc", "xyz") == 0
+    assert k(subsequence.bordered("clown"), subsequence.bordered("clowns")) > k(subsequence.bordered("clown"), subsequence.bordered("xclownsy"))
     marks = subsequence.Landmarks(["idiot", "clown", "worthless"], 0.3)
     words = ["idiot", "idxiot", "cloown", "table", "worrthless", "in", "x" * 24, "worthlessness"]
     found = marks.against(words)
@@ -460,11 +535,36 @@ def test_toxicity_learns(model):
     rows = sentences(300, 1)[-150:] + sentences(150, 1)
     right = sum((s >= 0.5) == bool(y) for s, (_, y) in zip(scores(model, [t for t, _ in rows]), rows, strict=True))
     assert right / len(rows) > 0.97
-    toxic = scores(model, ["you IDIOT!", "i.d.i.o.t", "an i d i o t", "a worthhless one", "idiot " + "fine " * 100_000])
+    toxic = scores(model, ["you IDIOT!", "i.d.i.o.t", "an i d i o t", "a i d i o t", "a worthhless one", "an id iot", "i\u200bd\u200biot", "idiot " + "fine " * 100_000])
     clean = scores(model, ["", None, "a table", "good day to you", "fine " * 100_000])
     assert min(toxic) >= 0.5 > max(clean)
 
 
+def test_toxicity_tolerates_letters_put_in_left_out_and_doubled(model):
+    put_in, left_out, doubled = [], [], []
+    for w in ("idiot", "worthless", "moronic"):
+        put_in += [w[:k] + c + w[k:] for k in range(1, len(w)) for c in "abfknqxz"]
+        left_out += [w[:k] + w[k + 1 :] for k in range(1, len(w) - 1)]
+        doubled += [w[:k] + w[k] + w[k:] for k in range(len(w))]
+    for words, least in ((put_in, 0.9), (left_out, 0.9), (doubled, 1.0)):
+        assert np.mean([s >= 0.5 for s in scores(model, [f"you are {w} today" for w in words])]) >= least
+
+
+def test_toxicity_score_by_brute_force(model):
+    def kernel(unit, landmark):
+        pieces = subsequence.windows(unit)
+        cosine = max(subsequence.kernel(subsequence.bordered(p), landmark) for p in pieces)
+        return max(0.0, (cosine - toxicity.KNEE) / (1 - toxicity.KNEE)) ** 2
+
+    texts = [t for t, _ in sentences(12, 7)] + ["", "idxiot", "x" * 60 + "idiot", "a worthless-idiot mor onic", "é moron"]
+    for text, got in zip(texts, scores(model, texts), strict=True):
+        units = [u.decode() for u in toxicity.units(text, model.joins)]
+        values = [sum(w * kernel(u, m) for w, m in zip(model.weights, model.landmarks.words, strict=True)) for u in units]
+        z = model.slope * (max([0.0, *values]) + model.bias) + model.offset
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    assert {"moronic"} <= {u.decode() for u in toxicity.units("mor onic", model.joins)}
+
+
 def test_toxicity_query_parts(spark, model, odd):
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == len(awkward()) and all(0 <= r.score <= 1 for r in rows)
@@ -477,3 +577,9 @@ def test_toxicity_query_parts(spark, model, odd):
     texts = {i: t or "" for i, t, *_ in awkward()}
     assert {t for t, _ in used} <= {t or "" for i, t, *_ in awkward() if i in allowed} and len(texts) > 0
     assert toxicity.training_rows(empty(spark), labels) == []
+    assert toxicity.score(empty(spark), model).count() == 0 and toxicity.not_toxic(empty(spark), model).count() == 0
+    by_text = dict(zip([t for _, t, *_ in awkward()], scores(model, [t for _, t, *_ in awkward()]), strict=True))
+    assert sorted(r.score for r in rows) == sorted(by_text[t] for _, t, *_ in awkward())
+    with_insults = odd.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" idxiot"))).otherwise(F.col("text")))
+    kept = toxicity.not_toxic(with_insults, model).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == sorted((i is None, i or 0, t or "") for i, t, *_ in awkward() if i is None or i % 7)

@@ -7,12 +7,14 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyframe.llm import mixing, toxicity, warc_fixity
 from tallyframe.llm.common import staged, table
 from tests.conftest import SF
-from tests.llm.test_operators import near, plain_print, roots, squeezed
+from tests.llm.test_operators import squeezed
+from tests.llm.test_shingle_dedup import expected
 
 
 @pytest.fixture(scope="module")
@@ -39,9 +41,7 @@ def test_stages(spark, kept):
         least[squeezed(r.text)] = min(least.get(squeezed(r.text), r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in kept["exact_dedup"][1]) == sorted(least.values())
     # near copies
-    rows = sorted(kept["exact_dedup"][1], key=lambda r: r.doc_id)
-    root = roots(len(rows), near([plain_print(r.text) for r in rows]))
-    assert sorted(r.doc_id for r in kept["simhash_near_dedup"][1]) == sorted({rows[k].doc_id for k in root})
+    assert sorted(r.doc_id for r in kept["simhash_near_dedup"][1]) == expected([(r.doc_id, r.text) for r in kept["exact_dedup"][1]])
     # mix
     times = {r.doc_id: r.times for r in mixing.mix(kept["simhash_near_dedup"][2]).collect()}
     mixed = [r.doc_id for r in kept["source_mix"][1]]
@@ -105,3 +105,11 @@ def test_pages_with_nulls_and_repeated_rows(spark, tmp_path):
     out = warc_fixity.op2_warc_fixity(spark, f"file://{tmp_path}/full").collect()
     assert len(out) == 6 and len({(r.archive, r.record_offset) for r in out}) == 6
     assert warc_fixity.op2_warc_fixity(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_many_records_of_one_range_fill_several_archives(spark):
+    pages = spark.range(100_000, numPartitions=8).select(F.lit(None).cast("long").alias("page_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("<p>x</p>").alias("html"))
+    same = spark.range(30_000, numPartitions=8).select(F.lit(7).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("").alias("html"))
+    record = warc_fixity.page_record(F.col("url"), F.col("html"), F.col("page_id"))
+    leaves = warc_fixity.page_leaves(pages.unionAll(same), record).groupBy("archive").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("places")).collect()
+    assert len(leaves) >= 11 and sum(r.n for r in leaves) == 130_000 and max(r.n for r in leaves) < 16_000 and all(r.n == r.places for r in leaves)
