@@ -12,13 +12,28 @@ FORMATS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,9}$", "yyyy-MM-dd HH:mm:ss.SSSSSSSSS"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,9}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
     (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{8}$", "yyyyMMdd"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^[A-Za-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]+ \d{4}$", "d MMMM yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
 )
 # Fixed values.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -26,7 +41,10 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 
 def _read(text: Column, k: int) -> Column:
     pattern, form = FORMATS[k]
-    return F.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz"))
+    day = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+    if not form.endswith("yyyy") and form.endswith("yy"):  # years of two digits: 69 to 99 are of the last century
+        day = F.when(F.year(day) > 2068, (day - F.expr("INTERVAL 100 YEARS")).cast("timestamp_ntz")).otherwise(day)
+    return F.when(text.rlike(pattern), day)
 
 
 def format_of(first: Column) -> Column:
@@ -60,7 +78,7 @@ def make_day(year: Column, month: Column, day: Column) -> Column:
 
 def statement_day(text: Column) -> Column:
     """The first "Month d, yyyy" of a page, if its month is a full English name; else null."""
-    found = r"([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})"
+    found = r"([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})"  # fixed value
     part = lambda k: F.regexp_extract(text, found, k)
     months = F.create_map(*[F.lit(x) for k, name in enumerate(MONTHS, 1) for x in (name, k)])
     month = F.try_element_at(months, part(1))

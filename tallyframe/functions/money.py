@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+#: From here on doubles have no room for cents that could be trusted.
+LARGE = 1e15
+# What a number and a money token look like.
+_MONEY_TOKEN = r"^-?\$?[\d,]+\.\d{2}$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
 
 
@@ -46,7 +50,8 @@ def fixed2(amount: Column) -> Column:
     """Two decimals without grouping; what is below zero and rounds to zero keeps its sign."""
     rounded = round2(amount)
     below = (amount < 0) | (amount.cast("string") == "-0.0")
-    return F.when((rounded == 0) & below, "-0.00").otherwise(F.format_string("%.2f", rounded))
+    endless = F.when(amount == float("inf"), "inf").when(amount == float("-inf"), "-inf")
+    return F.coalesce(endless, F.when((rounded == 0) & below, "-0.00").otherwise(F.format_string("%.2f", rounded)))
 
 
 def grouped(amount: Column) -> Column:
@@ -54,13 +59,22 @@ def grouped(amount: Column) -> Column:
 
 
 def short_number(amount: Column) -> Column:
-    """As JavaScript writes a number of two decimals: 100, 3998.82, 0.5."""
-    return F.regexp_replace(amount.cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
+    """As JavaScript writes a number of two decimals: 100, 3998.82, 0.5. Amounts of 1e15 or more go
+    without decimals, infinite ones by name."""
+    endless = F.when(amount == float("inf"), "Infinity").when(amount == float("-inf"), "-Infinity")
+    large = F.when(F.abs(amount) >= LARGE, F.format_string("%.0f", amount))
+    return F.coalesce(endless, large, F.regexp_replace(F.when(F.abs(amount) < LARGE, amount).cast("decimal(20,2)").cast("string"), r"\.?0+$", ""))
 
 
 def total(amount: Column) -> Column:
-    """Sum of amounts of two decimals, the same in whatever order they come."""
-    return F.coalesce(F.sum(amount.cast("decimal(18,2)")), F.lit(0)).cast("double")
+    """Sum of amounts of two decimals, the same in whatever order they come.
+
+    Amounts of 1e15 or more have no cents in a double; they, and infinite ones, are summed as
+    doubles, so a total can be infinite, or NaN if both infinities come together.
+    """
+    exact = F.sum(F.when(F.abs(amount) < LARGE, amount).cast("decimal(18,2)")).cast("double")
+    rest = F.sum(F.when(~(F.abs(amount) < LARGE), amount))
+    return F.when(rest.isNotNull(), F.coalesce(exact, F.lit(0.0)) + rest).otherwise(F.coalesce(exact, F.lit(0.0)))
 
 
 def is_credit(amount: Column) -> Column:
@@ -69,7 +83,7 @@ def is_credit(amount: Column) -> Column:
 
 
 def is_money_token(text: Column) -> Column:
-    return text.rlike(r"^-?\$?[\d,]+\.\d{2}$")
+    return text.rlike(_MONEY_TOKEN)
 
 
 def money_token(text: Column) -> Column:

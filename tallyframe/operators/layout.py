@@ -15,6 +15,7 @@ from ..functions.dates import make_day, resolve_year, statement_day
 from ..functions.money import inside, is_money_token, money_token, round2, total
 from ..functions.text import join_parts
 
+# Fixed value: the day that opens a row.
 _DATE = r"^(\d{1,2})/(\d{1,2})$"
 _PAGE = ("source_file", "page")
 
@@ -80,7 +81,9 @@ def table_rows(classified: DataFrame) -> DataFrame:
 
 
 def read_tables(words: DataFrame) -> DataFrame:
-    return table_rows(tokens(segments(lines(words))))
+    """The table rows of statements. Words are dealt by statement once; all later grouping, by page, line
+    or row, stays where they are."""
+    return table_rows(tokens(segments(lines(words.repartition("source_file")))))
 
 
 def statement_ends(pages: DataFrame) -> DataFrame:
@@ -89,48 +92,50 @@ def statement_ends(pages: DataFrame) -> DataFrame:
     return seen.select("source_file", "page", statement_day(F.col("text")).alias("end")).groupBy("source_file").agg(F.min_by("end", F.when(F.col("end").isNotNull(), F.col("page"))).alias("end"))
 
 
+def _amount() -> Column:
+    return round2(F.coalesce(F.col("credit"), F.lit(0.0)) - F.coalesce(F.col("debit"), F.lit(0.0)))
+
+
 def to_ledger(tables: DataFrame, ends: DataFrame) -> DataFrame:
     """source_file, row_id, date, description, reference, amount. A row without money stays, at 0."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     part = lambda k: F.regexp_extract("day", _DATE, k).try_cast("int")
     rows = tables.where("NOT is_totals").join(ends, "source_file")
     place = F.row_number().over(Window.partitionBy("source_file").orderBy("page", "ordinal")) - 1
     return rows.select(
         "source_file", place.cast("long").alias("row_id"), make_day(resolve_year(part(1), F.col("end")), part(1), part(2)).alias("date"),
-        "description", "reference", round2(zero("credit") - zero("debit")).alias("amount"),
+        "description", "reference", _amount().alias("amount"),
     )
 
 
-def reconcile(tables: DataFrame, ledger: DataFrame) -> DataFrame:
+def reconcile(tables: DataFrame) -> DataFrame:
     """For each statement that prints totals: declared and parsed sums and whether they agree.
-    Sums are over all pages; a missing amount on a totals line is 0."""
-    declared = tables.where("is_totals").groupBy("source_file").agg(total(F.coalesce("credit", F.lit(0.0))).alias("declared_credit"), total(F.coalesce("debit", F.lit(0.0))).alias("declared_debit"))
-    a = F.col("amount")
-    parsed = ledger.groupBy("source_file").agg(total(F.when(a > 0, a)).alias("parsed_credit"), total(F.when(a < 0, -a)).alias("parsed_debit"))
-    both = declared.join(parsed, "source_file", "left").na.fill(0.0, ["parsed_credit", "parsed_debit"])
+    Sums are over all pages; a missing amount on a totals line is 0. One pass over the table rows."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    printed, a = F.col("is_totals"), _amount()
+    both = tables.groupBy("source_file").agg(
+        total(F.when(printed, zero("credit"))).alias("declared_credit"), total(F.when(printed, zero("debit"))).alias("declared_debit"),
+        total(F.when(~printed & (a > 0), a)).alias("parsed_credit"), total(F.when(~printed & (a < 0), -a)).alias("parsed_debit"), F.count_if(printed).alias("_lines"),
+    ).where("_lines > 0").drop("_lines")
     near = lambda k: F.abs(F.round(F.col(f"declared_{k}") - F.col(f"parsed_{k}"), 4)) <= S.TOTALS_TOLERANCE
     return both.withColumn("agrees", near("credit") & near("debit"))
 
 
 def read_statements(words: DataFrame, pages: DataFrame) -> DataFrame:
     """The ledger of statements given as words and page texts; an error if a statement has no date,
-    no table, an impossible day, or totals that disagree."""
-    tables, ends = read_tables(words).cache(), statement_ends(pages)
-    undated = words.select("source_file").distinct().join(ends.where("end IS NOT NULL"), "source_file", "left_anti").first()
-    if undated:
-        raise S.StatementParseError("no_statement_date", f"{undated[0]!r} has no statement date on its first pages.")
+    no table, an impossible day, or totals that disagree. All statements are checked in one pass."""
+    tables, ends = read_tables(words), statement_ends(pages)
     ledger = to_ledger(tables, ends)
-    bare = words.select("source_file").distinct().join(ledger.select("source_file").distinct(), "source_file", "left_anti").first()
-    if bare:
-        raise S.StatementParseError("no_table", f"{bare[0]!r} has no transaction table.")
-    wrong = ledger.where("date IS NULL").select("source_file", "row_id").first()
-    if wrong:
-        raise S.StatementParseError("no_such_day", f"{wrong[0]!r} has an impossible date in row {wrong[1]}.")
-    off = reconcile(tables, ledger).where("NOT agrees").select(
-        "source_file", *[F.format_number(c, 2).alias(c) for c in ("declared_credit", "declared_debit", "parsed_credit", "parsed_debit")]
-    ).first()
-    if off:
-        raise S.StatementParseError(
-            "totals_differ", f"{off[0]!r} says credits ${off[1]} and debits ${off[2]}, but its rows come to ${off[3]} and ${off[4]}; nothing is returned."
-        )
+    rows = ledger.groupBy("source_file").agg(F.count("*").alias("rows"), F.min(F.when(F.col("date").isNull(), F.col("row_id"))).alias("bad_row"))
+    state = words.select("source_file").distinct().join(ends, "source_file", "left").join(rows, "source_file", "left").join(reconcile(tables), "source_file", "left")
+    wrong = F.when(F.col("end").isNull(), 1).when(F.col("rows").isNull(), 2).when(F.col("bad_row").isNotNull(), 3).when(~F.col("agrees"), 4)
+    sums = [F.format_number(c, 2).alias(c) for c in ("declared_credit", "declared_debit", "parsed_credit", "parsed_debit")]
+    first = state.select("source_file", wrong.alias("wrong"), "bad_row", *sums).where("wrong IS NOT NULL").agg(F.min(F.struct("wrong", "source_file", "bad_row", *[F.col(c) for c in ("declared_credit", "declared_debit", "parsed_credit", "parsed_debit")]))).first()[0]
+    if first:
+        reason, text = {
+            1: ("no_statement_date", "{0!r} has no statement date on its first pages."),
+            2: ("no_table", "{0!r} has no transaction table."),
+            3: ("no_such_day", "{0!r} has an impossible date in row {1}."),
+            4: ("totals_differ", "{0!r} says credits ${2} and debits ${3}, but its rows come to ${4} and ${5}; nothing is returned."),
+        }[first.wrong]
+        raise S.StatementParseError(reason, text.format(first.source_file, *first[2:]))
     return ledger

@@ -31,7 +31,8 @@ def headers(raw: DataFrame) -> DataFrame:
     first = raw.groupBy("source_file").agg(F.min_by("cells", "pos").alias("header"), F.min("pos").alias("header_pos"), F.count("*").alias("records"))
     names = F.transform(F.coalesce("header", F.array()), lambda c: normal_header(F.coalesce(c, F.lit(""))))
     first = first.withColumn("names", names)
-    width = F.size(F.array_compact("header"))
+    # up to the last cell that has a name: those between may have none
+    width = F.coalesce(F.array_max(F.transform("header", lambda c, k: F.when(c.isNotNull(), k + 1))), F.lit(0))
     found = {
         "date_at": S.DATE_NAMES, "description_at": S.DESCRIPTION_NAMES, "reference_at": S.REFERENCE_NAMES,
         "amount_at": S.AMOUNT_NAMES, "debit_at": S.DEBIT_NAMES, "credit_at": S.CREDIT_NAMES,
@@ -39,14 +40,26 @@ def headers(raw: DataFrame) -> DataFrame:
     return first.select("source_file", "header_pos", "records", "header", width.alias("width"), *[_index(F.col("names"), v).alias(k) for k, v in found.items()])
 
 
-def _check(found: DataFrame) -> None:
-    """Files that have no rows, or no column that can be an amount."""
-    empty = found.where("records < 2").select("source_file").first()
-    if empty:
-        raise S.StatementParseError("no_rows", f"{empty[0]!r} has no rows.")
-    none = found.where("amount_at IS NULL AND debit_at IS NULL AND credit_at IS NULL").select("source_file", "header").first()
-    if none:
-        raise S.StatementParseError("no_amount_column", f"{none[0]!r} needs an amount column or debit and credit columns; it has {none[1]}.")
+def _check(found: DataFrame, typed: DataFrame) -> None:
+    """The first thing that is wrong with any file, by one pass over all: no rows at all, a file
+    without rows or without a column that can be an amount, a record longer than its header, no
+    amount that can be used."""
+    usable = F.count_if(F.col("amount").isNotNull() & ~F.isnan("amount"))
+    state = found.join(typed.groupBy("source_file").agg(F.max("_extra").alias("extra"), usable.alias("usable")), "source_file", "left")
+    wrong = (
+        F.when(F.col("records") < 2, 1).when(F.coalesce("amount_at", "debit_at", "credit_at").isNull(), 2).when(F.col("extra") > 0, 3).when(F.coalesce("usable", F.lit(0)) == 0, 4)
+    )
+    files, first = state.select("*", wrong.alias("wrong")).agg(F.count("*"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("wrong", "source_file", "header")))).first()
+    if not files:
+        raise S.StatementParseError("no_rows", "There are no rows.")
+    if first:
+        reason, text = {
+            1: ("no_rows", "{!r} has no rows."),
+            2: ("no_amount_column", "{!r} has neither an amount column nor debit or credit columns; it has {}."),
+            3: ("unreadable", "{!r} has a record that is longer than its header."),
+            4: ("no_usable_amount", "{!r} has no rows with a usable amount."),
+        }[first.wrong]
+        raise S.StatementParseError(reason, text.format(first.source_file, first.header))
 
 
 def to_ledger(raw: DataFrame, check: bool = True) -> DataFrame:
@@ -58,10 +71,6 @@ def to_ledger(raw: DataFrame, check: bool = True) -> DataFrame:
     source form ("0012" stays), absent columns are empty text.
     """
     found = headers(raw)
-    if raw.isEmpty():
-        raise S.StatementParseError("no_rows", "There are no rows.")
-    if check:
-        _check(found)
     rows = raw.join(found.drop("records", "header"), "source_file").where("pos > header_pos")
     long = F.size(F.array_compact(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells"), F.lit(1)))))
     cell = lambda at: F.when(F.col(at).isNotNull(), F.try_element_at("cells", F.col(at)))
@@ -72,17 +81,10 @@ def to_ledger(raw: DataFrame, check: bool = True) -> DataFrame:
         .otherwise(net_amount(parse_amount(cell("debit_at")), parse_amount(cell("credit_at")))).alias("amount"),
     )
     if check:
-        wide = typed.where("_extra > 0").select("source_file").first()
-        if wide:
-            raise S.StatementParseError("unreadable", f"{wide[0]!r} has a record that is longer than its header.")
+        _check(found, typed)
     file = Window.partitionBy("source_file")
     first = F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("pos"))).over(file)
     dated = typed.withColumn("date", parse_date(F.col("_date"), format_of(first)))
     kept = dated.where(F.col("amount").isNotNull() & ~F.isnan("amount"))
     place = (F.row_number().over(file.orderBy("pos")) - 1).cast("long")
-    out = kept.select("source_file", place.alias("row_id"), "date", "description", "reference", "amount")
-    if check:
-        without = found.select("source_file").join(out.select("source_file").distinct(), "source_file", "left_anti").first()
-        if without:
-            raise S.StatementParseError("no_usable_amount", f"{without[0]!r} has no rows with a usable amount.")
-    return out
+    return kept.select("source_file", place.alias("row_id"), "date", "description", "reference", "amount")

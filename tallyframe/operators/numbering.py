@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_A_BUCKET = 100_000
+#: Rows that a range is meant to hold, and ranges at most.
+ROWS_A_BUCKET, MOST_RANGES = 100_000, 512
+
+
+def _range(key: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the ascending bounds are under the key, by halving."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(key > bounds[middle], _range(key, bounds[middle + 1 :], first + middle + 1)).otherwise(_range(key, bounds[:middle], first))
 
 
 def number_rows(df: DataFrame, key: str, *ties: str, name: str = "row_id", rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """``df`` with row numbers from 0 in the order of a whole-number column, then ``ties``.
 
     Rows are numbered inside ranges of the key; a running count over the ranges, of which
-    there are few, says where each begins. Null keys come first.
+    there are few, says where each begins. The ranges lie between quantiles of the key, so
+    that one far-off key doesn't put all others into one range; finding them takes a pass over the
+    key alone. Null keys come first. Columns of ``df`` may have any names but ``name``.
     """
-    bounds = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    low, high, rows = bounds[0] or 0, bounds[1] or 0, bounds[2]
-    width = max(1, (high - low + 1) * rows_a_bucket // max(rows, 1))
-    ranged = df.withColumn("_range", F.coalesce(F.floor((F.col(key) - low) / width), F.lit(-1)))
+    rows = df.count()
+    ranges = min(MOST_RANGES, -(-rows // rows_a_bucket))
+    bounds = []
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
+        bounds = sorted(set(found or ()))
+    whole = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), *[F.col(t).alias(f"_tie{k}") for k, t in enumerate(ties)])
+    ranged = whole.withColumn("_range", F.when(F.col("_key").isNull(), -1).otherwise(_range(F.col("_key"), bounds)))
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), *ties)) - 1
-    return ranged.withColumn("_place", place).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_range", "_place", "_start")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_key").asc_nulls_first(), *[f"_tie{k}" for k in range(len(ties))])) - 1
+    numbered = ranged.withColumn("_place", place).join(starts, "_range")
+    return numbered.select("_row.*", (F.col("_start") + F.col("_place")).cast("long").alias(name))

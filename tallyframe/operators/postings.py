@@ -2,7 +2,8 @@
 
 One plan in place of a lookup and a create for each row: keys are joined with those posted
 before, and of rows in one batch that share a key the first is created and the others
-are skipped.
+are skipped. If a create fails, the next row of its key is tried, and so on: ``turn`` is a
+row's place among those of its key, and the k-th try of a key is that of turn k.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.money import is_credit, round2
 
 CREATED, SKIPPED, ERROR = "created", "skipped_duplicate", "error"
 SKIPPED_DETAIL = "Posted already: same date, description and amount."
+LOOKUP_FAILED, CREATE_FAILED = "Could not be looked up: ", "Could not be created: "
 
 
 def with_keys(ledger: DataFrame) -> DataFrame:
@@ -27,49 +29,81 @@ def with_keys(ledger: DataFrame) -> DataFrame:
 
 
 def posted_once(posted: DataFrame) -> DataFrame:
-    """One row for each type and key: the smallest id."""
-    return posted.groupBy("txn_type", "doc_number").agg(F.min("id").alias("id"))
+    """One row for each type and key: the first by ``position``, if the table has such a column for the
+    order in which the remote system lists its transactions, else by id, shorter ids first."""
+    order = F.struct("position", "id") if "position" in posted.columns else F.struct(F.length("id"), "id")
+    return posted.groupBy("txn_type", "doc_number").agg(F.min_by("id", order).alias("id"))
 
 
-def plan_postings(ledger: DataFrame, posted: DataFrame, order: str = "row_id") -> DataFrame:
+def _plain(ledger: DataFrame) -> DataFrame:
+    """The columns of a ledger that a posting needs, whatever others there are, with txn_type and doc_number."""
+    return with_keys(ledger.select("row_id", "date", "description", "amount"))
+
+
+def plan_postings(ledger: DataFrame, posted: DataFrame, order: str = "row_id", lookup_errors: DataFrame | None = None) -> DataFrame:
     """A row for each ledger row: row_id, date, description, amount, status, detail, posted_id,
-    txn_type, doc_number. Assumes that creates succeed; see ``with_outcomes``."""
-    keyed = with_keys(ledger)
-    turn = F.row_number().over(Window.partitionBy("txn_type", "doc_number").orderBy(order))
-    joined = keyed.withColumn("_turn", turn).join(posted_once(posted), ["txn_type", "doc_number"], "left")
-    skipped = F.col("id").isNotNull() | (F.col("_turn") > 1)
+    txn_type, doc_number, turn. Assumes that creates succeed; see ``with_outcomes``.
+
+    ``lookup_errors`` (row_id, error): rows whose key couldn't be looked up. They are errors, have
+    no turn, and leave the other rows of their key as they are.
+    """
+    keyed = _plain(ledger if order == "row_id" else ledger.withColumn("row_id", F.col(order)))
+    keyed = keyed.withColumn("_error", F.lit(None).cast("string"))
+    if lookup_errors is not None:
+        found = lookup_errors.groupBy("row_id").agg(F.min("error").alias("_error"))
+        keyed = keyed.drop("_error").join(found, "row_id", "left")
+    tried = F.col("_error").isNull()
+    turn = F.when(tried, F.row_number().over(Window.partitionBy("txn_type", "doc_number", tried).orderBy("row_id")))
+    joined = keyed.withColumn("turn", turn).join(posted_once(posted), ["txn_type", "doc_number"], "left")
+    skipped = F.col("id").isNotNull() | (F.col("turn") > 1)
     return joined.select(
         "row_id", iso_day(F.col("date")).alias("date"), F.coalesce("description", F.lit("")).alias("description"), round2(F.col("amount")).alias("amount"),
-        F.when(skipped, SKIPPED).otherwise(CREATED).alias("status"), F.when(skipped, SKIPPED_DETAIL).otherwise("").alias("detail"),
-        F.col("id").alias("posted_id"), "txn_type", "doc_number",
+        F.when(~tried, ERROR).when(skipped, SKIPPED).otherwise(CREATED).alias("status"),
+        F.when(~tried, F.concat(F.lit(LOOKUP_FAILED), F.col("_error"))).when(skipped, SKIPPED_DETAIL).otherwise("").alias("detail"),
+        F.when(tried, F.col("id")).alias("posted_id"), "txn_type", "doc_number", "turn",
     )
 
 
 def to_create(ledger: DataFrame, posted: DataFrame) -> DataFrame:
-    """Rows whose key isn't posted, all of them."""
-    return with_keys(ledger).join(posted, ["txn_type", "doc_number"], "left_anti")
+    """Rows whose key isn't posted, all of them: row_id, date, description, amount, txn_type, doc_number."""
+    return _plain(ledger).join(posted, ["txn_type", "doc_number"], "left_anti")
 
 
 def with_outcomes(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The plan after a sink has tried its creates. ``outcomes``: doc_number, txn_type, id or error.
+    """The plan after a sink has tried its creates. ``outcomes``: txn_type, doc_number, id or error,
+    and, where a key was tried more than once, ``attempt`` from 1.
 
-    A failed create makes its row an error with the sink's words; nothing else changes.
+    The first try that succeeded makes its row created and the later rows of its key skipped, with the new
+    id; a try that failed makes its row an error with the sink's words. If all tries of a key
+    failed, the row whose turn is next is planned as created, for the sink to try.
     """
-    tried = plan.join(outcomes.select("txn_type", "doc_number", F.col("id").alias("_id"), F.col("error").alias("_error")), ["txn_type", "doc_number"], "left")
-    failed = (F.col("status") == CREATED) & F.col("_error").isNotNull()
-    return tried.select(
-        "row_id", "date", "description", "amount", F.when(failed, ERROR).otherwise(F.col("status")).alias("status"),
-        F.when(failed, F.concat(F.lit("Create failed: "), F.col("_error"))).otherwise(F.col("detail")).alias("detail"),
-        F.when(failed, F.lit(None)).otherwise(F.coalesce("posted_id", "_id")).alias("posted_id"), "txn_type", "doc_number",
+    attempt = F.col("attempt") if "attempt" in outcomes.columns else F.lit(1)
+    tries = outcomes.select("txn_type", "doc_number", attempt.cast("int").alias("turn"), F.col("id").alias("_id"), F.col("error").alias("_error"))
+    good = F.col("_id").isNotNull() & F.col("_error").isNull()
+    by_key = tries.groupBy("txn_type", "doc_number").agg(
+        F.min(F.when(good, F.col("turn"))).alias("_good"), F.min_by("_id", F.when(good, F.col("turn"))).alias("_new"), F.max("turn").alias("_last"),
+    )
+    failed = tries.where(F.col("_error").isNotNull()).groupBy("txn_type", "doc_number", "turn").agg(F.min("_error").alias("_error"))
+    joined = plan.join(by_key, ["txn_type", "doc_number"], "left").join(failed, ["txn_type", "doc_number", "turn"], "left")
+    open_ = F.col("posted_id").isNull() & F.col("turn").isNotNull() & F.col("_last").isNotNull()  # rows that the tries bear on
+    turn, made = F.col("turn"), F.col("_good")
+    wrong = open_ & F.col("_error").isNotNull() & (made.isNull() | (turn < made))
+    new = open_ & ((turn == made) | made.isNull() & (turn == F.col("_last") + 1))
+    again = open_ & ~wrong & ~new
+    return joined.select(
+        "row_id", "date", "description", "amount",
+        F.when(wrong, ERROR).when(new, CREATED).when(again, SKIPPED).otherwise(F.col("status")).alias("status"),
+        F.when(wrong, F.concat(F.lit(CREATE_FAILED), F.col("_error"))).when(new, "").when(again, SKIPPED_DETAIL).otherwise(F.col("detail")).alias("detail"),
+        F.when(open_ & ~wrong, F.when(turn >= made, F.col("_new"))).otherwise(F.col("posted_id")).alias("posted_id"), "txn_type", "doc_number", "turn",
     )
 
 
 def failed_lookups(ledger: DataFrame, error: str) -> DataFrame:
     """What a plan is when the posted ledger can't be read: every row an error."""
-    keyed = with_keys(ledger)
+    keyed = _plain(ledger)
     return keyed.select(
-        "row_id", iso_day(F.col("date")).alias("date"), "description", round2(F.col("amount")).alias("amount"), F.lit(ERROR).alias("status"),
-        F.lit(f"Duplicate check failed: {error}").alias("detail"), F.lit(None).cast("string").alias("posted_id"), "txn_type", "doc_number",
+        "row_id", iso_day(F.col("date")).alias("date"), F.coalesce("description", F.lit("")).alias("description"), round2(F.col("amount")).alias("amount"), F.lit(ERROR).alias("status"),
+        F.lit(f"{LOOKUP_FAILED}{error}").alias("detail"), F.lit(None).cast("string").alias("posted_id"), "txn_type", "doc_number", F.lit(None).cast("int").alias("turn"),
     )
 
 

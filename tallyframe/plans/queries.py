@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, money, text
-from ..operators import layout, ofx, postings, summary
-from ..sources import sinks
+from ..operators import layout, normalize, ofx, postings, summary
+from ..sources import readers, sinks
 from .adapters import events_ledger, lineitem_words, orders_ledger, pages_text, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,15 +120,23 @@ def year_resolve(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.iso_day(dates.make_day(year, F.month(day), F.least(F.dayofmonth(day), F.lit(28)))).alias("day"))
 
 
+#: Forms in which dates are written; columns are told apart by the key modulo their number.
+DATE_FORMS = (
+    "M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "yyyy-MM-dd HH:mm", "MM-dd-yyyy", "dd MMM yyyy", "M/d/yy", "d-MMM-yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss.SSS", "d MMMM yyyy",
+)
+
+
 @query
 def date_parse(spark, sf_dir):
-    """Days in several forms, each read by the one format of its column; columns are told apart by status."""
-    day, status = F.col("o_orderdate"), F.col("o_orderstatus")
-    written = F.when(F.col("o_orderkey") % 11 == 0, "soon").when(status == "F", F.date_format(day, "M/d/yyyy")).when(status == "O", F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "MMMM d, yyyy"))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", written.alias("written"))
-    first = rows.where("written <> 'soon'").groupBy("o_orderstatus").agg(F.min_by("written", "o_orderkey").alias("first"))
-    form = first.select("o_orderstatus", dates.format_of(F.col("first")).alias("form"))
-    return rows.join(form, "o_orderstatus").select("o_orderkey", dates.iso_day(dates.parse_date(F.col("written"), F.col("form"))).alias("day"))
+    """Days in several forms, each read by the one format of its column."""
+    day, column = F.col("o_orderdate"), F.pmod("o_orderkey", F.lit(len(DATE_FORMS)))
+    written = F.when(F.col("o_orderkey") % 13 == 0, "soon")
+    for k, form in enumerate(DATE_FORMS):
+        written = written.when(column == k, F.date_format(day, form))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", column.alias("column"), written.alias("written"))
+    first = rows.where("written <> 'soon'").groupBy("column").agg(F.min_by("written", "o_orderkey").alias("first"))
+    form = first.select("column", dates.format_of(F.col("first")).alias("form"))
+    return rows.join(form, "column").select("o_orderkey", dates.iso_day(dates.parse_date(F.col("written"), F.col("form"))).alias("day"))
 
 
 def _batch(spark, sf_dir):
@@ -144,7 +152,19 @@ def _posted(spark, sf_dir):
 
 @query
 def posting_plan(spark, sf_dir):
-    return postings.plan_postings(_batch(spark, sf_dir), _posted(spark, sf_dir)).drop("detail")
+    return postings.plan_postings(_batch(spark, sf_dir), _posted(spark, sf_dir)).drop("detail", "turn")
+
+
+@query
+def posting_outcomes(spark, sf_dir):
+    """The plan after creates of which a third fail once and a sixth twice, and lookups of which some fail."""
+    batch = _batch(spark, sf_dir)
+    missed = batch.where("row_id % 50 = 7").select("row_id", F.concat(F.lit("no answer for "), F.col("row_id").cast("string")).alias("error"))
+    plan = postings.plan_postings(batch, _posted(spark, sf_dir), lookup_errors=missed)
+    first = plan.where("status = 'created'").select("txn_type", "doc_number", "row_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt")).where("attempt = 1 OR row_id % 3 = 0")
+    failed = F.col("row_id") % F.when(F.col("attempt") == 1, 3).otherwise(2) == 0
+    tries = first.select("txn_type", "doc_number", "attempt", F.when(~failed, F.concat_ws("-", "row_id", "attempt")).alias("id"), F.when(failed, F.concat_ws(" ", F.lit("busy"), "attempt")).alias("error"))
+    return postings.with_outcomes(plan, tries).select("row_id", "status", "detail", "posted_id", "turn")
 
 
 @query
@@ -238,5 +258,50 @@ def statement_ledger(spark, sf_dir):
 
 @query
 def reconcile(spark, sf_dir):
-    tables = layout.read_tables(lineitem_words(spark, sf_dir))
-    return layout.reconcile(tables, layout.to_ledger(tables, layout.statement_ends(pages_text(spark, sf_dir))))
+    return layout.reconcile(layout.read_tables(lineitem_words(spark, sf_dir)))
+
+
+def _paged(spark, sf_dir):
+    """The same words with two orders to a statement, a page each, and the statements' first pages."""
+    key = F.substring("source_file", 2, 20).cast("long")
+    words = lineitem_words(spark, sf_dir).withColumn("page", (key % 2 + 1).cast("int")).withColumn("source_file", F.concat(F.lit("p"), F.floor(key / 2).cast("string")))
+    pages = pages_text(spark, sf_dir).select(F.concat(F.lit("p"), F.floor(key / 2).cast("string")).alias("source_file"), (key % 2 + 1).cast("int").alias("page"), "text")
+    return layout.read_tables(words), layout.statement_ends(pages)
+
+
+@query
+def paged_ledger(spark, sf_dir):
+    """Rows of statements of several pages, numbered over the pages."""
+    return layout.to_ledger(*_paged(spark, sf_dir)).select("source_file", "row_id", dates.iso_day(F.col("date")).alias("day"), "description", "reference", "amount")
+
+
+@query
+def paged_totals(spark, sf_dir):
+    """Totals printed on each page, summed over the pages of a statement."""
+    return layout.reconcile(_paged(spark, sf_dir)[0])
+
+
+@query
+def card_documents(spark, sf_dir):
+    """A card statement for each customer."""
+    return ofx.documents(orders_ledger(spark, sf_dir, "o_custkey"), "o_custkey", "creditcard", now="20260101000000")
+
+
+@query
+def preview_entries(spark, sf_dir):
+    """The preview of a ledger: its summary, and a digest of its entries in row order."""
+    entry = lambda e: F.concat_ws("|", e["row_id"].cast("string"), e["date"], e["description"], e["reference"], F.format_string("%.2f", e["amount"]))
+    rows = F.array_join(F.transform("entries", entry), ";")
+    return summary.preview(orders_ledger(spark, sf_dir)).select("summary.*", F.size("entries").cast("long").alias("entries"), F.sha2(rows, 256).alias("entries_sha256"))
+
+
+@query
+def csv_intake(spark, sf_dir):
+    """A ledger written as CSV files and read back through headers, dates, amounts and guards."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(orders_ledger(spark, sf_dir), path)
+    found = normalize.to_ledger(readers.read_csv(spark, path))
+    return found.select(dates.iso_day(F.col("date")).alias("day"), "description", "reference", "amount")

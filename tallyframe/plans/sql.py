@@ -94,7 +94,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY base_fitid ORDER BY row_id) AS k
     "fixed_decimals": r"""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '-0.00' ELSE printf('%.2f', s_acctbal) END AS fixed,
   regexp_replace(CAST(CAST(s_acctbal AS DECIMAL(20, 2)) AS VARCHAR), '\.?0+$', '') AS short, format('{:,.2f}', s_acctbal) AS grouped FROM supplier""",
     "year_resolve": "SELECT o_orderkey, printf('%04d-%02d-%02d', CASE WHEN month(o_orderdate) > 2 THEN 1994 ELSE 1995 END, month(o_orderdate), least(day(o_orderdate), 28)) AS day FROM orders",
-    "date_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
+    "date_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "posting_plan": f"WITH {BATCH} SELECT * FROM plan",
     "to_create": f"WITH {BATCH} SELECT row_id, txn_type, doc_number FROM keyed ANTI JOIN posted USING (txn_type, doc_number)",
     "status_counts": f"WITH {BATCH} SELECT count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'skipped_duplicate') AS skipped_duplicate, count(*) FILTER (status = 'error') AS errors FROM plan",
@@ -125,3 +125,28 @@ parsed AS (SELECT source_file, {TOTAL.format('CASE WHEN amount > 0 THEN amount E
 SELECT source_file, declared_credit, declared_debit, coalesce(parsed_credit, 0.0) AS parsed_credit, coalesce(parsed_debit, 0.0) AS parsed_debit,
   abs(round(declared_credit - coalesce(parsed_credit, 0), 4)) <= 0.01 AND abs(round(declared_debit - coalesce(parsed_debit, 0), 4)) <= 0.01 AS agrees FROM declared LEFT JOIN parsed USING (source_file)""",
 }
+
+# two orders to a statement, a page each
+_PAGED = f"""WITH {WORDS}, two AS (SELECT 'p' || CAST(floor(CAST(substr(source_file, 2) AS BIGINT) / 2) AS BIGINT) AS file, CAST(substr(source_file, 2) AS BIGINT) % 2 AS page, * FROM tables),
+paged AS (SELECT file AS source_file, row_number() OVER (PARTITION BY file ORDER BY page, ordinal) - 1 AS row_id,
+    printf('%04d-%02d-%02d', CASE WHEN CAST(split_part(day, '/', 1) AS INT) > 6 THEN 1994 ELSE 1995 END, CAST(split_part(day, '/', 1) AS INT), CAST(split_part(day, '/', 2) AS INT)) AS day_text,
+    description, reference, round(coalesce(credit, 0) - coalesce(debit, 0), 2) AS amount FROM two WHERE NOT is_totals)"""
+SQL |= {
+    "paged_ledger": f"{_PAGED} SELECT source_file, row_id, CASE WHEN day_text LIKE '%-02-29' THEN NULL ELSE day_text END AS day, description, reference, amount FROM paged",
+    "paged_totals": f"""{_PAGED}, declared AS (SELECT file AS source_file, {TOTAL.format('coalesce(credit, 0)')} AS declared_credit, {TOTAL.format('coalesce(debit, 0)')} AS declared_debit FROM two WHERE is_totals GROUP BY ALL),
+parsed AS (SELECT source_file, {TOTAL.format('CASE WHEN amount > 0 THEN amount END')} AS parsed_credit, {TOTAL.format('CASE WHEN amount < 0 THEN -amount END')} AS parsed_debit FROM paged GROUP BY ALL)
+SELECT source_file, declared_credit, declared_debit, coalesce(parsed_credit, 0.0) AS parsed_credit, coalesce(parsed_debit, 0.0) AS parsed_debit,
+  abs(round(declared_credit - coalesce(parsed_credit, 0), 4)) <= 0.01 AND abs(round(declared_debit - coalesce(parsed_debit, 0), 4)) <= 0.01 AS agrees FROM declared LEFT JOIN parsed USING (source_file)""",
+    "card_documents": SQL["ofx_documents"].replace("BANKMSGSRSV1", "CREDITCARDMSGSRSV1").replace("STMTTRNRS>", "CCSTMTTRNRS>").replace("STMTRS>", "CCSTMTRS>")
+    .replace("<BANKACCTFROM>|<BANKID>111000025|", "<CCACCTFROM>|").replace("|<ACCTTYPE>CHECKING|</BANKACCTFROM>", "|</CCACCTFROM>"),
+    "preview_entries": f"""WITH {LEDGER} SELECT {_SUMMARY}, count(*) AS entries,
+  sha256(string_agg(concat_ws('|', row_id, strftime(date, '%Y-%m-%d'), description, reference, printf('%.2f', amount)), ';' ORDER BY row_id)) AS entries_sha256 FROM ledger""",
+    "csv_intake": f"WITH {LEDGER} SELECT strftime(date, '%Y-%m-%d') AS day, description, reference, round(amount, 2) AS amount FROM ledger",
+    "posting_outcomes": f"""WITH {BATCH}, looked AS (SELECT row_id, id, txn_type, doc_number, row_id % 50 = 7 AS missed,
+    CASE WHEN row_id % 50 <> 7 THEN row_number() OVER (PARTITION BY txn_type, doc_number, row_id % 50 = 7 ORDER BY row_id) END AS turn FROM keyed LEFT JOIN posted USING (txn_type, doc_number)),
+firsts AS (SELECT txn_type, doc_number, row_id AS f, CASE WHEN row_id % 3 <> 0 THEN 1 WHEN row_id % 2 <> 0 THEN 2 END AS good, CASE WHEN row_id % 3 = 0 THEN 2 ELSE 1 END AS last FROM looked WHERE id IS NULL AND turn = 1)
+SELECT row_id, turn, CASE WHEN missed THEN 'error' WHEN id IS NOT NULL THEN 'skipped_duplicate' WHEN turn < coalesce(good, last + 1) THEN 'error' WHEN turn = coalesce(good, last + 1) THEN 'created' ELSE 'skipped_duplicate' END AS status,
+  CASE WHEN missed THEN 'Could not be looked up: no answer for ' || row_id WHEN id IS NULL AND turn < coalesce(good, last + 1) THEN 'Could not be created: busy ' || turn
+    WHEN id IS NULL AND turn = coalesce(good, last + 1) THEN '' ELSE 'Posted already: same date, description and amount.' END AS detail,
+  CASE WHEN NOT missed THEN coalesce(id, CASE WHEN turn >= good THEN f || '-' || good END) END AS posted_id FROM looked LEFT JOIN firsts USING (txn_type, doc_number)""",
+}

@@ -44,6 +44,7 @@ CHECK_X, CREDIT_X, DEBIT_X = (110.0, 149.0), (390.0, 460.0), (460.0, 525.0)
 #: Declared and parsed totals may differ by so much.
 TOTALS_TOLERANCE = 0.01
 
+# Kinds of account in an export.
 ACCOUNT_TYPES = ("CHECKING", "SAVINGS", "CREDITCARD")
 
 

@@ -93,8 +93,16 @@ def test_keys(spark):
 
 
 def test_dates(spark):
-    first = [("2026-01-01", 0), ("01/02/2026", 3), ("13/02/2026", 4), ("Jan 5, 2026", 8), ("nothing", 0)]
-    assert all(one(spark, dates.format_of, v) == n for v, n in first)
+    first = [("2026-01-01", "yyyy-MM-dd"), ("01/02/2026", "M/d/yyyy"), ("13/02/2026", "d/M/yyyy"), ("Jan 5, 2026", "MMM d, yyyy"), ("nothing", "yyyy-MM-dd")]
+    assert all(dates.FORMATS[one(spark, dates.format_of, v)][1] == form for v, form in first)
+    # a column whose first value is the date itself
+    alone = {
+        "2026-01-02 10:11": "2026-01-02 10:11:00", "2026-01-02T10:11": "2026-01-02 10:11:00", "2026-01-02 10:11:12.5": "2026-01-02 10:11:12.500000", "01-02-2026": "2026-01-02 00:00:00",
+        "13-02-2026": "2026-02-13 00:00:00", "02 Jan 2026": "2026-01-02 00:00:00", "2 January 2026": "2026-01-02 00:00:00", "02-Jan-26": "2026-01-02 00:00:00", "13/02/26": "2026-02-13 00:00:00",
+        "02/13/95": "1995-02-13 00:00:00", "01.02.2026": "2026-01-02 00:00:00", "1/2/2026 9:05": "2026-01-02 09:05:00", "20260102": "2026-01-02 00:00:00", "2026-02-30": "None",
+    }
+    rows = spark.createDataFrame([(v,) for v in alone], "v string").select("v", dates.parse_date(F.col("v"), dates.format_of(F.col("v"))).alias("d"))
+    assert {r.v: str(r.d) for r in rows.collect()} == alone
     assert one(spark, dates.statement_day, "September 30, 2026 Page 1 of 1").isoformat() == "2026-09-30T00:00:00"
     assert one(spark, dates.statement_day, "Sept 30, 2026 then June 1, 2026") is None
 
@@ -117,6 +125,12 @@ def test_headers_and_blank_rows(csv):
     assert values(csv('date,memo,amount\n2026-01-01,"two\nlines, ""quoted""",5\n'), "description") == [('two\nlines, "quoted"',)]
 
 
+def test_wide_files_and_unnamed_columns(csv):
+    names = ["date", "memo", *(f"more{k}" for k in range(70)), "amount"]
+    assert values(csv(",".join(names) + "\n2026-01-01,x," + "y," * 70 + "7\n"), "description", "amount") == [("x", 7.0)]
+    assert values(csv("date,,amount\n2026-01-01,z,5\n2026-01-02,,6\n"), "amount") == [(5.0,), (6.0,)]
+
+
 def test_one_format_for_a_column_of_dates(csv):
     rows = csv("date,description,amount\n,x,1\n2026-01-01,a,1\n01/02/2026,b,2\n")
     assert values(rows, "date", "amount")[1][0].isoformat()[:10] == "2026-01-01" and values(rows, "date", "amount")[2] == (None, 2.0)
@@ -245,10 +259,43 @@ def test_postings(spark, ledger, tmp_path):
     old = spark.createDataFrame([("Deposit", key, "55"), ("Deposit", key, "56")], POSTED)
     assert values(postings.plan_postings(ledger, old), "status", "posted_id")[1] == ("skipped_duplicate", "55")
     tried = spark.createDataFrame([("Deposit", key, None, "boom")], "txn_type string, doc_number string, id string, error string")
-    assert values(postings.with_outcomes(plan, tried), "status", "detail")[1] == ("error", "Create failed: boom")
+    assert values(postings.with_outcomes(plan, tried), "status", "detail")[1] == ("error", "Could not be created: boom")
     assert {r.status for r in postings.failed_lookups(ledger, "down").collect()} == {"error"}
 
 
+def test_tries_after_failed_creates(spark, ledger):
+    """Three equal rows; what the sink says of each try decides what becomes of the next."""
+    fee = ledger.where("row_id = 2").drop("row_id")
+    rows = spark.range(3).withColumnRenamed("id", "row_id").crossJoin(fee)
+    plan = postings.plan_postings(rows, spark.createDataFrame([], POSTED))
+    kind, key = plan.select("txn_type", "doc_number").first()
+
+    def after(*tries):
+        frame = spark.createDataFrame([(kind, key, k, i, e) for k, (i, e) in enumerate(tries, 1)], "txn_type string, doc_number string, attempt int, id string, error string")
+        return values(postings.with_outcomes(plan, frame), "status", "posted_id")
+
+    assert after(("7", None)) == [("created", "7"), ("skipped_duplicate", "7"), ("skipped_duplicate", "7")]
+    assert after((None, "boom")) == [("error", None), ("created", None), ("skipped_duplicate", None)]
+    assert after((None, "boom"), ("8", None)) == [("error", None), ("created", "8"), ("skipped_duplicate", "8")]
+    assert after((None, "boom"), (None, "bang")) == [("error", None), ("error", None), ("created", None)]
+    assert postings.with_outcomes(plan, plan.limit(0).selectExpr("txn_type", "doc_number", "posted_id AS id", "detail AS error")).exceptAll(plan).count() == 0
+
+
+def test_lookups_that_fail_row_by_row(spark, ledger):
+    missed = spark.createDataFrame([(2, "no answer")], "row_id long, error string")
+    got = values(postings.plan_postings(ledger, spark.createDataFrame([], POSTED), lookup_errors=missed), "status", "detail", "turn")
+    assert got[2] == ("error", "Could not be looked up: no answer", None) and got[3][0] == "created" and got[3][2] == 1
+
+
+def test_first_match_and_clashing_columns(spark, ledger):
+    odd = ledger.selectExpr("*", "'x' AS id", "1 AS turn", "2 AS _turn", "'y' AS doc_number", "'z' AS txn_type", "'e' AS error", "'e' AS _error")
+    key = postings.with_keys(ledger).where("row_id = 1").first().doc_number
+    posted = spark.createDataFrame([("Deposit", key, "10", 1), ("Deposit", key, "9", 2)], "txn_type string, doc_number string, id string, position long")
+    assert values(postings.plan_postings(odd, posted), "posted_id")[1] == ("10",)  # the first that is listed
+    assert values(postings.plan_postings(odd, posted.drop("position")), "posted_id")[1] == ("9",)  # the lower number
+    assert postings.to_create(odd, posted).count() == 5
+
+
 def test_documents(ledger):
     d = {r.row_id: r.document for r in postings.deposits(ledger, "35", "90").collect()}
     p = {r.row_id: r.document for r in postings.purchases(ledger, "35", "70").collect()}
@@ -304,6 +351,23 @@ def test_numbering(spark):
     assert [(r.k, r.t) for r in got] == want and [r.row_id for r in got] == list(range(len(rows)))
 
 
+def test_numbering_with_a_key_far_off(spark):
+    frame = spark.range(5000).select(F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("k"), F.lit("a").alias("_key"), F.lit("b").alias("_range"))
+    numbered = numbering.number_rows(frame, "k", rows_a_bucket=100)
+    assert [r.row_id for r in numbered.orderBy("k").collect()] == list(range(5000)) and numbered.columns == ["k", "_key", "_range", "row_id"]
+    bounds = [r[0] for r in frame.agg(F.percentile_approx("k", [j / 50 for j in range(1, 50)], 1000)).collect()][0]
+    held = frame.groupBy(numbering._range(F.col("k"), sorted(set(bounds)))).count().collect()
+    assert max(r[1] for r in held) < 300
+
+
+def test_amounts_without_end_or_cents(spark):
+    total = lambda *v: spark.createDataFrame([(x,) for x in v], "a double").agg(money.total(F.col("a"))).first()[0]
+    inf = float("inf")
+    assert total(0.1, 0.2, None) == 0.3 and total() == 0.0 and total(5.0, inf) == inf and total(1e17, 5.0) == 1e17 + 5.0 and str(total(inf, -inf)) == "nan"
+    assert [one(spark, money.fixed2, v, "double") for v in (inf, -inf, 1e17, -0.0)] == ["inf", "-inf", "100000000000000000.00", "-0.00"]
+    assert [one(spark, money.short_number, v, "double") for v in (inf, 1e17, 0.5, 100.0)] == ["Infinity", "100000000000000000", "0.5", "100"]
+
+
 def test_properties(ledger):
     """Order of rows doesn't matter to sums; identifiers of a document differ; blocks add up to the balance."""
     assert summary.summary(ledger.repartition(3)).first() == summary.summary(ledger.coalesce(1)).first()
