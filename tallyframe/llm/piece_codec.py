@@ -241,7 +241,9 @@ def _slim(df: DataFrame, id_col: str, value: str) -> DataFrame:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, ids) for each row, ids with begin and end, packed as little-endian 32-bit
-    integers. Null text counts as empty; rows may repeat; other columns are not read."""
+    integers. Null text counts as empty and texts of any length are encoded whole; rows may
+    repeat, share an id or have none; an empty table gives no rows; other columns, whatever
+    their names, are not read."""
     return _slim(docs, id_col, text_col).transform(mapped, encoding(model_bytes(model)), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
@@ -272,7 +274,8 @@ def digests(proto: bytes):
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """Each row's token count and the digests of its ids and of the text decoded from them."""
+    """Each row's token count and the digests of its ids and of the text decoded from them. Nulls,
+    empty and long texts, repeated rows, empty tables and other columns are as in ``encode``."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _slim(docs, id_col, text_col).transform(mapped, digests(model_bytes(model)), schema)
 

@@ -13,8 +13,8 @@ import corpus_pipeline
 from tallyframe.llm import mixing, toxicity, warc_fixity
 from tallyframe.llm.common import staged, table
 from tests.conftest import SF
-from tests.llm.test_operators import squeezed
-from tests.llm.test_shingle_dedup import expected
+from tests.llm.test_operators import DOCS, awkward, roots, squeezed
+from tests.llm.test_shingle_dedup import expected, plain_set, similar
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +61,42 @@ def test_run(spark, kept):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, kept["sentencepiece"][1]))
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_awkward_rows(spark, number):
+    """Nulls, repeated rows, ties, an empty table, and extra columns with names that stages use themselves."""
+    name, stage = corpus_pipeline.STAGES[number]
+    clashing = ("id", "_id", "_row", "_kept_id", "_kept", "_n", "_text", "_md5", "_times", "print", "size", "key", "tag", "a.b")
+    odd = spark.createDataFrame(awkward(), DOCS).selectExpr("*", *(f"'x' AS `{c}`" for c in clashing))
+    out = stage(spark, odd, SF)
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    if number == 4:
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((i is None, i or 0) for i, *_ in awkward())
+        return
+    assert out.columns == odd.columns
+    got, texts = out.collect(), [(i, t) for i, t, *_ in awkward()]
+    assert all(r["a.b"] == "x" for r in got)
+    low = lambda i, t: (i is None, i or 0, t is None, t or "")
+    found = sorted(low(r.doc_id, r.text) for r in got)
+    if number == 0:
+        assert found == sorted(low(*x) for x in texts)  # none of them is toxic
+    elif number == 1:
+        assert sorted(squeezed(r.text) for r in got) == sorted({squeezed(t) for _, t in texts})
+        least = {s: min((i for i, t in texts if squeezed(t) == s and i is not None), default=None) for s in {squeezed(t) for _, t in texts}}
+        assert all(r.doc_id == least[squeezed(r.text)] for r in got)
+    elif number == 2:
+        sets = [plain_set(t) for _, t in texts]
+        root = roots(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if similar(sets[a], sets[b])])
+        ids = [min((texts[k][0] for k in range(len(texts)) if root[k] == c and texts[k][0] is not None), default=None) for c in sorted(set(root))]
+        assert sorted(x[:2] for x in found) == sorted((i is None, i or 0) for i in ids)
+    else:
+        times = {}
+        for r in mixing.mix(odd).collect():
+            key = (r.doc_id, r.source, r.text_md5)
+            times[key] = max(times.get(key, 0), r.times)
+        md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+        assert len(got) == sum(times[i, s, md5(t)] for i, t, _, s, _ in awkward()) and all(squeezed(r.text).strip() for r in got)
+
+
 # WARC
 
 
