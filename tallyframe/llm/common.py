@@ -88,14 +88,19 @@ def resident(key, make):
     return _RESIDENT[key]
 
 
+def let_go() -> None:
+    """Give memory that Python has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _begin(owner: str) -> None:
     if _RESIDENT.get("owner") != owner:
         _RESIDENT.clear()
         _RESIDENT["owner"] = owner
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what was freed goes back to the system
-            trim(0)
+        let_go()
 
 
 def _slices(batches, most_bytes: int = BATCH_BYTES):

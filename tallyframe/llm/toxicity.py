@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, resident, table
+from .common import let_go, mapped, resident, table
 from .subsequence import Landmarks, bordered, features, windows
 
 #: The machine is fitted on so many labelled documents at most, clean and toxic, those of the lowest hash.
@@ -41,7 +42,7 @@ KNEE = 0.3
 REMEMBERED = 400_000
 _TURNS, _RIDGE, _ALTERED_COST, _NEAREST, _COMMON = 6, 1e-3, 1.0, 3, 0.05
 _TOGETHER = 256  # documents whose words are looked up together
-_AT_ONCE = 20_000  # units whose kernel values are held together when a machine is fitted
+_AT_ONCE = 8_000  # units whose kernel values are held together when a machine is fitted
 
 _DELETED = b".-_*'`~^#@$%\\"
 _SPACED = bytes.maketrans(b",;:!?()\"/|<>=&+[]{}", b" " * 19)
@@ -242,16 +243,21 @@ def fit(texts: list[str], labels: list[int], most: tuple[int, int] = (MOST_TOXIC
     number: dict[bytes, int] = {}
     of_unit: dict[bytes, list[int]] = {}
 
-    def numbered(text: str) -> np.ndarray:
-        found = units(text)
+    def numbered(text: str) -> list[int]:
+        found = sorted(units(text))  # in order, so that a machine fitted again is the same
         for u in [u for u in found if u not in of_unit]:
             of_unit[u] = [number.setdefault(p.encode(), len(number)) for p in windows(u.decode())]
-        return np.array([k for u in found for k in of_unit[u]], np.int32)
+        return [k for u in found for k in of_unit[u]]
 
-    bags = [[numbered(s) for s in [*_SENTENCE.split(t), t]] for t in texts]
+    flats, counts = [], []
+    for t in texts:
+        own = [numbered(s) for s in [*_SENTENCE.split(t), t]]
+        flats.append(np.fromiter(chain.from_iterable(own), np.int32))
+        counts.append(np.array([len(x) for x in own]))
     known = list(number)
-    count = lambda which: np.bincount(np.concatenate([np.unique(x[-1]) for x, label in zip(bags, labels, strict=True) if label == which]), minlength=len(known))
-    toxic, clean = (Counter({known[k]: int(c[k]) for k in np.flatnonzero(c)}) for c in (count(1), count(0)))
+    whole = lambda which: [np.unique(x[len(x) - c[-1] :]) for x, c, label in zip(flats, counts, labels, strict=True) if label == which]
+    toxic, clean = (Counter({known[k]: int(c[k]) for k in np.flatnonzero(c)}) for c in (np.bincount(np.concatenate(whole(1)), minlength=len(known)), np.bincount(np.concatenate(whole(0)), minlength=len(known))))
+    del of_unit
     strong = _toxic_words(toxic, clean, n, m)
     if not strong:
         return None
@@ -273,29 +279,36 @@ def fit(texts: list[str], labels: list[int], most: tuple[int, int] = (MOST_TOXIC
         place[[number[w] for w in found]] = np.arange(len(found)) + sum(map(len, parts))
         parts.append((np.array(list(found.values())).reshape(len(found), -1) @ root).astype(np.float32))
     z = np.concatenate(parts)
+    del parts
     # the sentences that have units with values, one after the other
-    bags = [[own for s in sentences if len(own := place[s][place[s] >= 0])] for sentences in bags]
-    doc = np.repeat(np.arange(len(bags)), [len(sentences) for sentences in bags])
-    lengths = np.array([len(s) for sentences in bags for s in sentences], int)
-    flat = np.concatenate([np.zeros(0, int), *(s for sentences in bags for s in sentences)])
+    doc = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+    flat, lengths = place[np.concatenate(flats)], np.concatenate(counts)
+    sentence = np.repeat(np.arange(len(doc)), lengths)[flat >= 0]
+    flat, lengths = flat[flat >= 0], np.bincount(sentence, minlength=len(doc))
+    doc, lengths = doc[lengths > 0], lengths[lengths > 0]
     starts = np.cumsum(lengths) - lengths
-    del bags, of_unit
+    del flats, counts, sentence
 
     letters = sorted({c for w in names for c in w})
     changed = {w: sorted(a for a in _altered(w, letters) if a.encode() not in clean and a.encode() not in toxic) for w in names}
-    values = described([a.encode() for a in sorted({a for v in changed.values() for a in v})], landmarks)
-    extra = [(values[a.encode()], toxic[w.encode()] ** 2 / len(v)) for w, v in changed.items() for a in v if a.encode() in values]
-    altered = np.array([v for v, _ in extra]).reshape(len(extra), -1) @ root
-    altered_cost = np.array([c for _, c in extra])
+    several, altered, altered_cost = [(a.encode(), toxic[w.encode()] ** 2 / len(v)) for w, v in changed.items() for a in v], [], []
+    for low in range(0, len(several), _AT_ONCE):
+        part = several[low : low + _AT_ONCE]
+        found = described(list({a for a, _ in part}), landmarks)
+        kept = [(a, c) for a, c in part if a in found]
+        altered.append((np.array([found[a] for a, _ in kept]).reshape(len(kept), -1) @ root).astype(np.float32))
+        altered_cost += [c for _, c in kept]
+    altered, altered_cost = np.concatenate([*altered, np.zeros((0, root.shape[1]), np.float32)]), np.array(altered_cost)
     altered_cost *= _ALTERED_COST / max(1e-12, altered_cost.sum())
 
-    pairs = np.unique(np.stack([np.repeat(doc, lengths), flat]), axis=1)
-    often = np.bincount(pairs[1][y[pairs[0]] == 0], minlength=len(z))
+    pairs = np.unique(np.repeat(doc, lengths) * max(1, len(z)) + flat)  # each unit of a document once
+    often = np.bincount((pairs % max(1, len(z)))[y[pairs // max(1, len(z))] == 0], minlength=len(z))
+    del pairs
     common = np.flatnonzero(often)
     f = np.full(len(z), -1.0)
     f[[k for w in strong if (k := place[number[w]]) >= 0]] = 1.0
     w = np.zeros(root.shape[1] + 1)
-    fixed = np.vstack([np.zeros((1, z.shape[1]), np.float32), z[common], altered.astype(np.float32)])
+    fixed = np.vstack([np.zeros((1, z.shape[1]), np.float32), z[common], altered])
     fixed_sign = np.r_[-np.ones(1 + len(common)), np.ones(len(altered))]
     fixed_cost = np.r_[1.0, _COMMON * np.minimum(often[common], 20) / m, altered_cost]
     for turn in range(_TURNS):
@@ -311,6 +324,7 @@ def fit(texts: list[str], labels: list[int], most: tuple[int, int] = (MOST_TOXIC
         sign = np.r_[fixed_sign, -np.ones(len(nearest)), np.ones(len(witness))]
         cost = np.r_[fixed_cost, times / m, np.full(len(witness), 1.0 / max(1, len(witness)))]
         w = _machine(x, sign, cost, _RIDGE)
+        del x
         f = z @ w[:-1] + w[-1]
     worst = np.full(len(y), w[-1])
     np.maximum.at(worst, np.repeat(doc, lengths), f[flat])
@@ -354,8 +368,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> ToxicityModel | None:
+    """A model from the labelled documents that ``training_rows`` finds, fitted on the driver; None without two labels."""
     found = training_rows(docs, labels, id_col, text_col, label_col, rows)
-    return fit([t for t, _ in found], [x for _, x in found])
+    model = fit([t for t, _ in found], [x for _, x in found])
+    del found
+    let_go()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
