@@ -180,7 +180,8 @@ class LineIndex:
     def over_in(self, found: DataFrame) -> DataFrame:
         """Of (name, key) the rows whose key is over the threshold: those that pass their filter, less its mistakes."""
         passed = staged(self.maybe_over(found), "line-passed")
-        mistaken = passed.select("key").distinct().join(self.over(), "key", "left_anti")
+        # written, so that the planner knows how few they are and needn't deal ``passed`` by key
+        mistaken = staged(passed.select("key").distinct().join(self.over(), "key", "left_anti"), "line-mistaken")
         return passed.join(mistaken, "key", "left_anti")
 
     def strip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
