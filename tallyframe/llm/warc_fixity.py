@@ -144,7 +144,8 @@ def page_leaves(pages: DataFrame, record: Column, damaged: Column | None = None,
     block = F.coalesce(F.floor(F.col("page_id") / RECORDS_AN_ARCHIVE), F.lit(-1))
     counts = pages.select(F.coalesce(F.floor(F.col("page_id").cast("long") / RECORDS_AN_ARCHIVE), F.lit(-1)).alias("_range")).groupBy("_range").agg(F.count("*").alias("_n"))
     full = counts.where(F.col("_n") > RECORDS_AN_ARCHIVE).withColumn("_archives", F.ceil(F.col("_n") / RECORDS_AN_ARCHIVE).cast("long"))
-    rows = rows.withColumn("_range", block).join(full, "_range", "left")
+    # written, so that the planner knows how few they are and needn't deal the records by range
+    rows = rows.withColumn("_range", block).join(staged(full.select("_range", "_archives"), "full-ranges"), "_range", "left")
     further = F.coalesce(F.pmod(F.xxhash64("_url", "hash", "page_id", "_part"), F.col("_archives")), F.lit(0))
     rows = rows.withColumn("archive", F.col("_range") + further * _NEXT)
     before = Window.partitionBy("archive").orderBy(F.col("page_id"), "_url", "hash").rowsBetween(Window.unboundedPreceding, -1)
