@@ -7,7 +7,8 @@ any word, and the rest by all words, so a block's anchors are a covering code of
 Each fingerprint has one home anchor in a block and is copied to all anchors within the
 covering radius plus the threshold that holds in a block, 1 + 1; of these the ones that a
 home one bit away can have are enough. At each anchor its homes are compared with all that
-were copied there, and what is found leaves as the edges of a spanning forest.
+were copied there, and what is found leaves as the edges of a spanning forest. The homes of
+a crowded anchor are dealt to tiles, each of which gets all that was copied there.
 Different fingerprints are compared once, however many documents have them.
 """
 
@@ -28,6 +29,8 @@ BITS = 64
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 _CODED = 15
 _TILE = 2048
+#: Homes of an anchor that one task compares; an anchor with more is cut into tiles.
+MOST_HOMES = 16_384
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -111,6 +114,14 @@ def _replicate(threshold: int):
     return run
 
 
+def _homes(batches):
+    """The home anchors of prints."""
+    for batch in batches:
+        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for k, (start, width) in enumerate(BLOCKS):
+            yield pa.RecordBatch.from_arrays([pa.array((anchors(prints, start, width, 0)[0] << np.uint64(2) | np.uint64(k)).view(np.int64))], names=["anchor"])
+
+
 def spanning_edges(homes: np.ndarray, others: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between ``homes`` and ``others`` (which has the homes too)."""
     nodes = np.unique(others)
@@ -133,7 +144,7 @@ def spanning_edges(homes: np.ndarray, others: np.ndarray, threshold: int) -> tup
 
 
 def _compare(threshold: int):
-    """Rows sorted by anchor to edges between prints."""
+    """Rows (anchor, tile, print, home) sorted by anchor and tile to edges between prints."""
 
     def run(batches):
         def edges():
@@ -145,15 +156,15 @@ def _compare(threshold: int):
 
         mark, held, flags = None, [], []
         for batch in batches:
-            key, prints, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            key, tile, prints, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1).tolist(), len(key)]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if low == high:
                     continue
-                if key[low] != mark:
+                if (key[low], tile[low]) != mark:
                     if held:
                         yield from edges()
-                    mark, held, flags = key[low], [], []
+                    mark, held, flags = (key[low], tile[low]), [], []
                 held.append(prints[low:high].view(np.uint64))
                 flags.append(home[low:high].astype(bool))
         if held:
@@ -162,10 +173,16 @@ def _compare(threshold: int):
     return run
 
 
-def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """Edges (a, b) of a spanning forest for each anchor, from the different fingerprints (print)."""
+def links(prints: DataFrame, threshold: int = 4, most_homes: int | None = None) -> DataFrame:
+    """Edges (a, b) of a spanning forest for each anchor's tile, from the different fingerprints (print)."""
     copies = prints.transform(mapped, _replicate(threshold), "anchor long, print long, home boolean")
-    return copies.repartition("anchor").sortWithinPartitions("anchor").transform(mapped, _compare(threshold), "a long, b long")
+    most = most_homes or MOST_HOMES
+    counts = prints.transform(mapped, _homes, "anchor long").groupBy(F.col("anchor").alias("_crowded")).agg(F.count("*").alias("_n"))
+    crowded = staged(counts.where(F.col("_n") > most).select("_crowded", F.ceil(F.col("_n") / most).cast("int").alias("_tiles")), "crowded")
+    placed = copies.join(crowded, F.col("anchor") == F.col("_crowded"), "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    dealt = placed.select("anchor", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("tile"), "print", "home", F.pmod(F.xxhash64("print"), F.col("_tiles")).alias("_own"))
+    dealt = dealt.select("anchor", "tile", "print", (F.col("home") & (F.col("tile") == F.col("_own"))).alias("home"))
+    return dealt.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile").transform(mapped, _compare(threshold), "a long, b long")
 
 
 def groups(prints: DataFrame, threshold: int = 4) -> DataFrame:
@@ -211,17 +228,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, rooted: DataFrame, printer) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each root; ``printer`` makes (key, text) to (key, print)."""
+    """The rows of ``docs`` with the smallest id of each root; ``printer`` makes (key, text) to (key, print).
+    Columns of ``docs`` may have any names."""
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     found = staged(prints.join(least_ids(rooted), "print"), "components")
     first = staged(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n")), "kept")
     single = first.where("n = 1 AND id IS NOT NULL").select(F.col("id").alias("_kept_id"))
-    plain = docs.join(single, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
+    plain = whole.join(single, F.col("_id") == F.col("_kept_id"), "left_semi").select("_row.*")
     shared = first.where("n > 1 OR id IS NULL").select("id")
     if shared.isEmpty():
         return plain
     # several rows with a kept id: fingerprint them anew, beside their other columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(shared, F.col("_id").eqNullSafe(F.col("id")), "left_semi")
+    rows = whole.join(shared, F.col("_id").eqNullSafe(F.col("id")), "left_semi")
     rows = rows.withColumn("_json", F.to_json("_row")).withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("_text"), F.lit("")), "_json"), 256))
     rows = staged(rows, "shared-ids")
     keyed = rows.select("_key", "_text").distinct().transform(mapped, printer, "_key string, print long")
@@ -234,7 +253,7 @@ def kept_rows(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, ro
     else:
         roots = roots.withColumn("root", F.lit(None).cast("long"))
     one = roots.groupBy("component_id", "root").agg(F.min_by("_row", "_key").alias("_row"))
-    return plain.unionByName(one.select("_row.*").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return plain.unionAll(one.select("_row.*"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
