@@ -25,6 +25,8 @@ THRESHOLD = 0.98
 TILE = 2048
 #: Tiles' worth of rows that are cut into tiles together, and axes that boxes have.
 _CUT_TOGETHER, _BOX_AXES = 8, 8
+#: Leading axes of the grid in whose cells tiles find one another.
+_GRID_AXES = 3
 #: The axes are fitted on so many vectors at most, and so many components in all.
 FIT_ROWS, FIT_COMPONENTS = 20_000, 2_000_000
 #: Sums of products in double precision are off by less.
@@ -231,10 +233,22 @@ def near_duplicates(
     tiles = staged(dealt.select("grp", "node", "copies", "v").transform(mapped, _tiles(basis, tile, kind), _TILES), "tiles")
 
     box = tiles.select("tile", "grp", "low", "high")
-    a, b = box.select(*[F.col(c).alias(f"{c}_a") for c in box.columns]), box.select(*[F.col(c).alias(f"{c}_b") for c in box.columns])
+    # tiles that are near share a cell of a grid if one of them is widened by the reach; of several such cells the first is theirs
+    reach = float(np.sqrt(2 - 2 * threshold + _SLACK)) or 1e-9
+    sides, cells, starts = [], [f"c{k}" for k in range(_GRID_AXES)], lambda side, k: F.col(f"s{k}_{side}")
+    for side, more in (("a", reach), ("b", 0.0)):
+        part = box.select(*[F.col(c).alias(f"{c}_{side}") for c in box.columns])
+        for k in range(_GRID_AXES):
+            first, last = (F.coalesce(F.floor((F.get(f"{edge}_{side}", F.lit(k)) + step) / reach), F.lit(0)) for edge, step in (("low", -more), ("high", more)))
+            part = part.withColumn(f"s{k}_{side}", first).withColumn(f"c{k}_{side}", F.explode(F.sequence(first, last)))
+        sides.append(part)
+    a, b = sides
     gap = F.zip_with(F.arrays_zip("low_a", "high_a"), F.arrays_zip("low_b", "high_b"), lambda p, q: F.greatest(F.lit(0.0), p["low_a"] - q["high_b"], q["low_b"] - p["high_a"]))
     near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= 2 - 2 * threshold + _SLACK
-    pairs = a.join(b, (F.col("grp_a") == F.col("grp_b")) & (F.col("tile_a") <= F.col("tile_b"))).where(near).select("tile_a", "tile_b")
+    same = F.col("grp_a") == F.col("grp_b")
+    for k, c in enumerate(cells):
+        same &= (F.col(f"{c}_a") == F.col(f"{c}_b")) & (F.col(f"{c}_a") == F.greatest(starts("a", k), starts("b", k)))
+    pairs = a.join(b, same & (F.col("tile_a") <= F.col("tile_b"))).where(near).select("tile_a", "tile_b")
     pairs = staged(pairs, "tile-pairs")
     body = tiles.select("tile", "n", "nodes", "copies", "vectors")
     for side in "ab":

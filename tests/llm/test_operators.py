@@ -56,7 +56,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def odd(docs):
     """Extra columns whose names an operator might use itself."""
-    return docs.selectExpr("*", *(f"'x' AS `{c}`" for c in ("id", "_id", "_row", "size", "key", "keep_id", "component_id", "_sha", "a.b", "print", "text_md5")))
+    return docs.selectExpr("*", *(f"'x' AS `{c}`" for c in ("id", "_id", "_row", "size", "key", "keep_id", "component_id", "_sha", "a.b", "print", "text_md5", "_kept_id", "_kept", "_text", "_n", "tag")))
 
 
 def empty(spark):
@@ -268,6 +268,16 @@ def test_simhash(spark, odd):
     assert all(i == least[root[prints.index(p)]] for i, p in ours)
 
 
+def test_crowded_anchors_are_cut_into_tiles(spark):
+    r = random.Random(4)
+    base = r.getrandbits(64)
+    prints = sorted({base ^ sum(1 << b for b in r.sample(range(22), r.randint(0, 5))) for _ in range(400)} | {r.getrandbits(64) for _ in range(50)})
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
+    for most in (3, 10_000):
+        edges = [(prints.index(e.a % (1 << 64)), prints.index(e.b % (1 << 64))) for e in simhash.links(frame, most_homes=most).collect()]
+        assert roots(len(prints), edges) == roots(len(prints), near(prints))
+
+
 def test_chains_of_prints_are_one_component(spark):
     r, prints = random.Random(9), []
     for k in range(30):
