@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, binary, mapped, squeeze, staged, table
+from .common import WS_CLASS, binary, drop_staged, mapped, squeeze, staged, table
 
 #: Bytes of text that one trie holds before it spills a subtree.
 TRIE_BYTES = 32 << 20
@@ -220,7 +220,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     are copies like any other, so one of them is kept. An empty table gives no rows; further
     columns, whatever their names, are not read.
     """
-    parts, owned = parts_and_owners(docs, id_col, text_col)
+    return _assigned(*parts_and_owners(docs, id_col, text_col), id_col)
+
+
+def _assigned(parts: DataFrame, owned: DataFrame, id_col: str) -> DataFrame:
     each = parts.join(owned, "tag").select("*", F.posexplode("ids").alias("_at", "_id"))
     kept = (F.col("tag") == F.col("keep_tag")) & (F.col("chunk") == 0) & (F.col("_at") == 0)
     return each.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
@@ -232,8 +235,9 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Nulls, repeats and empty tables are as in ``assign``; of rows that repeat id and text any
     one stays. Other columns may have any names.
     """
-    found = assign(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    found = staged(found.select(F.col("_id").alias("_kept"), "kept", "text_sha256"), "assigned")
+    parts, owned = parts_and_owners(docs, id_col, text_col)
+    found = staged(_assigned(parts, owned, "_kept").select("_kept", "kept", "text_sha256"), "assigned")
+    drop_staged(parts)  # they hold a copy of the texts
     rows_of = found.groupBy("_kept").agg(F.count("*").alias("_n"), F.max("kept").alias("_any"))
     ids = staged(rows_of.where("_any"), "kept-ids")
     ident, names = F.col(id_col).cast("long"), docs.columns
