@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, fill_middle, filter_audit, html_text, line_dedup, mixing, piece_codec, simhash, token_files, toxicity, warc_fixity
+from . import embedding_dedup, exact_dedup, fill_middle, filter_audit, html_text, line_dedup, mixing, piece_codec, quality, simhash, token_files, toxicity, warc_fixity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_ids": token_files.op8_token_ids,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
+    "op11_quality": quality.op11_quality,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
