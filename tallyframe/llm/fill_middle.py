@@ -72,8 +72,9 @@ def offsets(texts: DataFrame, unit: str | None = None, run: int = RUN, seed: int
     cuts = texts.select("key", _count(F.col("text"), unit).alias("n")).dropDuplicates(["key"]).select("key", "n", draws.alias("_d"))
     places = [F.col("_d")[k] % (n + 1) for k in range(2)]
     cuts = cuts.select("key", "n", F.posexplode(F.array(F.least(*places), F.greatest(*places))).alias("cut", "ordinal"))
-    cuts = cuts.withColumn("pos", F.floor(F.col("ordinal") / run).cast("int"))
-    found = cuts.join(runs, ["key", "pos"], "left")
+    # by the key alone, so that nothing is dealt anew; a key has two cuts
+    within = (F.col("ordinal") >= F.col("pos") * run) & (F.col("ordinal") < F.col("pos") * run + run)
+    found = cuts.join(runs.withColumnRenamed("key", "_of"), (F.col("key") == F.col("_of")) & within, "left")
     at = lambda k: F.max(F.when((F.col("cut") == k) & F.col("start").isNotNull(), F.struct("start", "chars", "ordinal")))
     return found.groupBy("key").agg(F.max("n").alias("n"), at(0).alias("first"), at(1).alias("second"))
 
