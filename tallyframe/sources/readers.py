@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import layout, normalize
 from ..schema import WORDS, StatementParseError
+from . import records
 
 RAW = "source_file string, pos long, cells array<string>"
 
@@ -22,15 +21,9 @@ def _need(module: str, what: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """source_file, pos, cells of CSV files or folders of them; every record, the header too. Quoted
-    fields may hold line feeds; doubled quotes stand for one; blank lines are skipped. There
-    are as many cells as the line with most commas allows, found by a pass over the text."""
-    widest = spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","))))).first()[0] or 0
-    columns = StructType([StructField(f"c{k}", StringType()) for k in range(widest + 1)])
-    options = {"header": False, "multiLine": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE", "maxColumns": max(20_480, widest + 1)}
-    rows = spark.read.schema(columns).options(**options).csv(path)
-    cells = F.array(*[F.col(c) for c in columns.names])
-    return rows.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("pos"), cells.alias("cells"))
+    """source_file, pos, cells of CSV files or folders of them; every record, the header too. One
+    large file is read by as many tasks as it has splits; see ``records.read``."""
+    return records.read(spark, path)
 
 
 def read_excel(spark: SparkSession, path: str | list[str]) -> DataFrame:
