@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_day
@@ -51,3 +51,37 @@ def preview(ledger: DataFrame) -> DataFrame:
 
 def preview_json(ledger: DataFrame) -> str:
     return preview(ledger).select(F.to_json(F.struct("summary", "entries"), {"ignoreNullFields": "false"})).first()[0]
+
+
+_ENTRY = ("row_id", "date", "description", "reference", "amount")
+
+
+def _token(last: Column) -> Column:
+    return F.concat(F.lit("after-"), last.cast("string"))
+
+
+def preview_pages(ledger: DataFrame, size: int = 1000) -> DataFrame:
+    """The preview in pages of so many row numbers: page, first_row, last_row, token, entries (JSON).
+
+    A page has the entries of its rows in order; ``token``, which ``preview_page`` takes, leads to what comes after
+    it and is null at the last. No row holds more than a page, whatever the length of the ledger.
+    """
+    page = F.floor(F.col("row_id") / size).cast("long")
+    whole = entries(ledger).groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("e"))
+    last = whole.agg(F.max("page").alias("_last"))
+    rows = whole.crossJoin(F.broadcast(last))  # one row
+    ends = F.element_at("e", -1)["row_id"]
+    return rows.select(
+        "page", F.col("e")[0]["row_id"].alias("first_row"), ends.alias("last_row"), F.when(F.col("page") < F.col("_last"), _token(ends)).alias("token"),
+        F.to_json("e", {"ignoreNullFields": "false"}).alias("entries"),
+    )
+
+
+def preview_page(ledger: DataFrame, token: str | None = None, size: int = 1000) -> DataFrame:
+    """One row: entries (JSON) and token of the ``size`` rows after a token, or of the first ones. Found
+    by row number, so rows that come in meanwhile neither repeat nor hide others."""
+    after = -1 if token is None else int(token.removeprefix("after-"))
+    some = entries(ledger.where(F.col("row_id") > after)).orderBy("row_id").limit(size + 1)
+    rows = some.agg(F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("e"))
+    shown = F.slice("e", 1, size)
+    return rows.select(F.to_json(shown, {"ignoreNullFields": "false"}).alias("entries"), F.when(F.size("e") > size, _token(F.element_at(shown, -1)["row_id"])).alias("token"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, money, text
-from ..operators import layout, normalize, ofx, postings, summary
-from ..sources import readers, sinks
+from ..operators import layout, normalize, ofx, postings, summary, temporal
+from ..sources import readers, remote, sinks
 from .adapters import events_ledger, lineitem_words, orders_ledger, pages_text, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +168,27 @@ def posting_outcomes(spark, sf_dir):
     return postings.with_outcomes(plan, tries).select("row_id", "status", "detail", "posted_id", "turn")
 
 
+class _Thirds:
+    """A remote system that has nothing and refuses every third row."""
+
+    def find(self, txn_type, doc_number):
+        return None
+
+    def create(self, txn_type, doc_number, document, row_id):
+        if row_id % 3 == 0:
+            raise remote.Refused(f"row {row_id}")
+        return f"{row_id}-1"
+
+
+@query
+def posting_creates(spark, sf_dir):
+    """The plan carried out by the create sink, key by key and turn by turn."""
+    batch = _batch(spark, sf_dir)
+    docs = postings.documents(batch, BANK, INCOME, EXPENSE)
+    kept, tried = remote.push(postings.plan_postings(batch, _posted(spark, sf_dir)), docs, _Thirds(), _scratch(spark, "push"))
+    return postings.with_outcomes(kept, tried).select("row_id", "status", "detail", "posted_id", "turn")
+
+
 @query
 def to_create(spark, sf_dir):
     return postings.to_create(_batch(spark, sf_dir), _posted(spark, sf_dir)).select("row_id", "txn_type", "doc_number")
@@ -296,12 +318,63 @@ def preview_entries(spark, sf_dir):
 
 
 @query
-def csv_intake(spark, sf_dir):
-    """A ledger written as CSV files and read back through headers, dates, amounts and guards."""
-    import uuid
+def preview_pages(spark, sf_dir):
+    """The preview in pages, and a digest of each page's entries."""
+    found = summary.preview_pages(orders_ledger(spark, sf_dir), 500)
+    return found.select("page", "first_row", "last_row", "token", F.sha2("entries", 256).alias("entries_sha256"))
+
+
+@query
+def ofx_parts(spark, sf_dir):
+    """Where each piece of one account's document begins in its file."""
+    return ofx.document_parts(orders_ledger(spark, sf_dir), "123", "checking", "111000025", "20260101000000").select("part", "offset", "bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _shipments(spark, sf_dir):
+    """Lines with the day on which they arrive, a week later for each place of the line."""
+    return read(spark, sf_dir, "lineitem").withColumn("arrival", F.date_add("l_shipdate", (F.col("l_linenumber") * 7).cast("int")))
 
+
+@query
+def balance_as_of(spark, sf_dir):
+    """What a supplier's shipments that have arrived come to, by days, as of each shipment."""
+    lines = _shipments(spark, sf_dir).withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
+    days = lines.groupBy("l_suppkey", F.col("arrival").alias("day")).agg(F.sum("price").alias("received"))
+    upto = Window.partitionBy("l_suppkey").orderBy("day")
+    days = days.select("l_suppkey", "day", F.sum("received").over(upto).cast("double").alias("balance"))
+    found = temporal.as_of(lines.select("l_suppkey", "l_shipdate", F.col("price").cast("double").alias("price")), days, "l_suppkey", "l_shipdate", {"balance": "balance", "day": "as_of"}, "day")
+    return found.select("l_suppkey", dates.iso_day(F.col("l_shipdate")).alias("day"), "price", "balance", dates.iso_day(F.col("as_of")).alias("as_of"))
+
+
+@query
+def period_totals(spark, sf_dir):
+    """Shipments of a supplier during each of its large ones, from shipment to arrival."""
+    lines = _shipments(spark, sf_dir)
+    periods = lines.where("l_quantity > 45").select("l_suppkey", F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("begins"), F.col("arrival").alias("ends"))
+    pairs = temporal.within(lines.select("l_suppkey", "l_shipdate", "l_extendedprice"), periods, "l_suppkey", "l_shipdate", "begins", "ends")
+    return pairs.groupBy("l_suppkey", "order", "line", dates.iso_day(F.col("begins")).alias("begins"), dates.iso_day(F.col("ends")).alias("ends")).agg(F.count("*").alias("shipments"), money.total(F.col("l_extendedprice")).alias("total"))
+
+
+def _scratch(spark, name):
+    """A new folder that driver and tasks share."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_intake(spark, sf_dir):
+    """A ledger written as CSV files and read back through headers, dates, amounts and guards."""
+    path = _scratch(spark, "csv")
     sinks.write_csv(orders_ledger(spark, sf_dir), path)
     found = normalize.to_ledger(readers.read_csv(spark, path))
     return found.select(dates.iso_day(F.col("date")).alias("day"), "description", "reference", "amount")
+
+
+@query
+def csv_split(spark, sf_dir):
+    """One large CSV file whose quoted texts have line feeds, commas and quotes, read by as many tasks as it has splits."""
+    path = _scratch(spark, "csv")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
+    rows.coalesce(1).sortWithinPartitions("doc_id").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+    cells = readers.read_csv(spark, path).where("cells[0] <> 'doc_id'")
+    return cells.select(F.col("cells")[0].cast("long").alias("doc_id"), F.coalesce(F.col("cells")[1], F.lit("")).alias("text"), F.size("cells").alias("width"))

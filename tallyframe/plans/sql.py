@@ -149,4 +149,25 @@ SELECT row_id, turn, CASE WHEN missed THEN 'error' WHEN id IS NOT NULL THEN 'ski
   CASE WHEN missed THEN 'Could not be looked up: no answer for ' || row_id WHEN id IS NULL AND turn < coalesce(good, last + 1) THEN 'Could not be created: busy ' || turn
     WHEN id IS NULL AND turn = coalesce(good, last + 1) THEN '' ELSE 'Posted already: same date, description and amount.' END AS detail,
   CASE WHEN NOT missed THEN coalesce(id, CASE WHEN turn >= good THEN f || '-' || good END) END AS posted_id FROM looked LEFT JOIN firsts USING (txn_type, doc_number)""",
+    "posting_creates": f"""WITH {BATCH}, looked AS (SELECT row_id, id, txn_type, doc_number, row_number() OVER (PARTITION BY txn_type, doc_number ORDER BY row_id) AS turn FROM keyed LEFT JOIN posted USING (txn_type, doc_number)),
+goods AS (SELECT txn_type, doc_number, min(turn) AS good, arg_min(row_id, turn) AS made FROM looked WHERE id IS NULL AND row_id % 3 <> 0 GROUP BY ALL)
+SELECT row_id, turn, CASE WHEN id IS NOT NULL THEN 'skipped_duplicate' WHEN good IS NULL OR turn < good THEN 'error' WHEN turn = good THEN 'created' ELSE 'skipped_duplicate' END AS status,
+  CASE WHEN id IS NULL AND (good IS NULL OR turn < good) THEN 'Could not be created: row ' || row_id WHEN id IS NULL AND turn = good THEN '' ELSE 'Posted already: same date, description and amount.' END AS detail,
+  coalesce(id, CASE WHEN turn >= good THEN made || '-1' END) AS posted_id FROM looked LEFT JOIN goods USING (txn_type, doc_number)""",
+    "preview_pages": f"""WITH {LEDGER}, p AS (SELECT *, CAST(floor(row_id / 500) AS BIGINT) AS page FROM ledger)
+SELECT page, min(row_id) AS first_row, max(row_id) AS last_row, CASE WHEN page < (SELECT max(page) FROM p) THEN 'after-' || max(row_id) END AS token,
+  sha256('[' || string_agg('{{"row_id":' || row_id || ',"date":"' || {ISO} || '","description":"' || description || '","reference":"' || reference || '","amount":' || CAST(round(amount, 2) AS VARCHAR) || '}}', ',' ORDER BY row_id) || ']') AS entries_sha256 FROM p GROUP BY page""",
+    "ofx_parts": f"""WITH {BLOCK}, ends AS (SELECT strftime(min(date), '%Y%m%d') AS low, strftime(max(date), '%Y%m%d') AS high, {TOTAL.format('amount')} AS balance, max(row_id) AS last FROM blocks),
+pieces AS (SELECT -1 AS part, replace('OFXHEADER:100|DATA:OFXSGML|VERSION:102|SECURITY:NONE|ENCODING:USASCII|CHARSET:1252|COMPRESSION:NONE|OLDFILEUID:NONE|NEWFILEUID:NONE||<OFX>|<SIGNONMSGSRSV1>|<SONRS>|<STATUS>|<CODE>0|<SEVERITY>INFO|</STATUS>|<DTSERVER>20260101000000|<LANGUAGE>ENG|</SONRS>|</SIGNONMSGSRSV1>|<BANKMSGSRSV1>|<STMTTRNRS>|<TRNUID>1|<STATUS>|<CODE>0|<SEVERITY>INFO|</STATUS>|<STMTRS>|<CURDEF>USD|<BANKACCTFROM>|<BANKID>111000025|<ACCTID>123|<ACCTTYPE>CHECKING|</BANKACCTFROM>|<BANKTRANLIST>|<DTSTART>' || low || '|<DTEND>' || high, '|', chr(13) || chr(10)) AS text FROM ends
+  UNION ALL SELECT row_id, block FROM blocks
+  UNION ALL SELECT last + 1, replace('</BANKTRANLIST>|<LEDGERBAL>|<BALAMT>' || printf('%.2f', balance) || '|<DTASOF>' || high || '|</LEDGERBAL>|</STMTRS>|</STMTTRNRS>|</BANKMSGSRSV1>|</OFX>', '|', chr(13) || chr(10)) FROM ends)
+SELECT part, CAST(coalesce(sum(strlen(text) + 2) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, CAST(strlen(text) + 2 AS BIGINT) AS bytes, sha256(text) AS text_sha256 FROM pieces""",
+    "balance_as_of": """WITH d AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) + CAST(7 * l_linenumber AS INTEGER) AS day, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS received FROM lineitem GROUP BY ALL),
+b AS (SELECT l_suppkey, day, CAST(sum(received) OVER (PARTITION BY l_suppkey ORDER BY day) AS DOUBLE) AS balance FROM d)
+SELECT l.l_suppkey, strftime(l.l_shipdate, '%Y-%m-%d') AS day, CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DOUBLE) AS price, balance, strftime(b.day, '%Y-%m-%d') AS as_of
+FROM lineitem l ASOF LEFT JOIN b ON l.l_suppkey = b.l_suppkey AND l.l_shipdate >= b.day""",
+    "period_totals": f"""WITH p AS (SELECT l_suppkey, l_orderkey AS "order", l_linenumber AS line, l_shipdate AS begins, CAST(l_shipdate AS DATE) + CAST(7 * l_linenumber AS INTEGER) AS ends FROM lineitem WHERE l_quantity > 45)
+SELECT p.l_suppkey, p."order", p.line, strftime(begins, '%Y-%m-%d') AS begins, strftime(ends, '%Y-%m-%d') AS ends, count(*) AS shipments, {TOTAL.format('l_extendedprice')} AS total
+FROM p JOIN lineitem l ON l.l_suppkey = p.l_suppkey AND l.l_shipdate >= begins AND l.l_shipdate < ends GROUP BY ALL""",
+    "csv_split": "SELECT doc_id, replace(coalesce(text, ''), chr(13), ' ') AS text, CAST(2 AS INTEGER) AS width FROM documents",
 }

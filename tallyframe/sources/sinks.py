@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import short_number
-from ..operators.ofx import document
+from ..operators.ofx import CRLF, document_parts
 from ..operators.summary import entries
 
 
@@ -31,9 +31,32 @@ def write_csv(ledger: DataFrame, path: str) -> None:
     rows.write.options(**kept).csv(path)
 
 
-def write_ofx(ledger: DataFrame, path: str, account_id: str, account_type: str, bank_id: str = "0", now: str | None = None) -> None:
-    """A folder with the one text file that an OFX document is."""
-    document(ledger, account_id, account_type, bank_id, now).coalesce(1).write.option("lineSep", "\r\n").text(path)
+def _joined(spark: SparkSession, parts: str, target: str) -> None:
+    """The files of a folder, by name, as one file. Bytes pass through the driver in a buffer of a few KB."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(parts)
+    store = at.getFileSystem(conf)
+    names = sorted(f.getPath().toString() for f in store.listStatus(at) if f.getPath().getName().startswith("part-"))
+    out = store.create(jvm.org.apache.hadoop.fs.Path(target), True)
+    try:
+        for name in names:
+            into = store.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, conf, False)
+            finally:
+                into.close()
+    finally:
+        out.close()
+    store.delete(at, True)
+
+
+def write_ofx(ledger: DataFrame, path: str, account_id: str, account_type: str, bank_id: str = "0", now: str | None = None, **more) -> None:
+    """A folder with the one text file that an OFX document is, of any length: its pieces are
+    written in order by many tasks, and their files joined."""
+    parts = document_parts(ledger, account_id, account_type, bank_id, now, **more).select("offset", "text")
+    dealt = parts.repartitionByRange("offset").sortWithinPartitions("offset").select("text")
+    dealt.write.option("lineSep", CRLF).text(f"{path}/_pieces")
+    _joined(ledger.sparkSession, f"{path}/_pieces", f"{path}/part-00000.txt")
 
 
 def download_name(upload: str) -> str:
