@@ -63,7 +63,7 @@ def within(moments: DataFrame, periods: DataFrame, by: str, at: str, start: str,
     if crowded and len(crowded) <= MOST_SPLITS:
         few = F.broadcast(m.sparkSession.createDataFrame(crowded, full.schema))
         m = m.join(few, ["_by", "_in"], "left").withColumn("_split", F.pmod(F.xxhash64(*moments.columns), F.coalesce("_n", F.lit(1)))).drop("_n")
-        p = p.join(few, ["_by", "_in"], "left").withColumn("_split", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).cast("long")).drop("_n")
+        p = p.join(few, ["_by", "_in"], "left").withColumn("_split", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)).cast("long") - 1))).drop("_n")
     else:
         m, p = m.withColumn("_split", F.lit(0).cast("long")), p.withColumn("_split", F.lit(0).cast("long"))
     holds = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
