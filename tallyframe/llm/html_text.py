@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ SKIPPED = frozenset("script style noscript template iframe object svg math canva
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd".split())
 #: Elements, and words of a class or id, that say what a container is for.
 AROUND_TAGS = frozenset("nav footer aside menu dialog search".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -54,19 +56,27 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "in_around", "in_main", "page_has_main", "heading", "sentence_end",
+    "in_around", "in_main", "page_has_main", "heading", "sentence_end", "item",
 )
 
 
+def _hides(key: str, value: str) -> bool:
+    return key == "hidden" or key == "style" and bool(_HIDDEN.search(value)) or key == "aria-hidden" and value.lower() == "true"
+
+
+def _is_hidden(attributes: str) -> bool:
+    return ("hidden" in attributes or "style" in attributes) and any(_hides(key.lower(), "".join(values)) for key, *values in _ATTRIBUTE.findall(attributes))
+
+
 def _purpose(tag: str, attributes: str) -> str | None:
-    """What an element says it is for: hidden, comment, around, weak (around by its names alone),
-    form, head, main, part (main by its names alone), or nothing. An article or main element
-    is what its tag says unless it is hidden or of comments."""
+    """What an element says it is for: hidden, comment, around, weak (around by its names alone), mixed (by
+    a name that says main as well), form, head, main, part (main by its names alone), or nothing. An
+    article or main element is what its tag says unless it is hidden or of comments."""
     names: list[set[str]] = []
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key == "hidden" or key == "style" and _HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
+            if _hides(key, value):
                 return "hidden"
             if key in ("class", "id", "role"):
                 names += [{w.lower() for w in words} for name in value.split() if (words := _WORDS.findall(name)) and words[0].lower() not in ABOUT_OTHERS]
@@ -80,24 +90,24 @@ def _purpose(tag: str, attributes: str) -> str | None:
         return "form"
     weak, part = any(x & AROUND_WORDS for x in names), any(x & MAIN_WORDS and not x & (AROUND_WORDS | HEAD_WORDS) for x in names) and tag in ("div", "section", "td")
     if weak and not part:
-        return "weak"
+        return "mixed" if all(x & MAIN_WORDS for x in names if x & AROUND_WORDS) else "weak"
     if tag == "header" or any(x & HEAD_WORDS for x in names):
         return "head"
     return "part" if part and not weak else None
 
 
-def _place(chain: list[tuple[str, int]], large_forms: set[int]) -> str | None:
+def _place(chain: list[tuple[str, int]], large: set[int]) -> str | None:
     """What a block's containers, from the outermost on, come to: main, around or nothing. Hidden
     elements, comments and containers that are around by their tag hold all that is in them; an
-    article or main element outweighs containers that are around by name; a form that holds most
-    of the page says nothing; the head of main text belongs to it."""
+    article or main element outweighs containers that are around by name; a form, or a container of mixed
+    names, that holds most of the page says nothing; the head of main text belongs to it."""
     place = None
     for purpose, number in chain:
-        if purpose in ("hidden", "comment", "around") or purpose == "form" and number not in large_forms:
+        if purpose in ("hidden", "comment", "around") or purpose == "form" and number not in large:
             return "around"
         if purpose == "main":
             place = "main"
-        elif purpose == "weak":
+        elif purpose == "weak" or purpose == "mixed" and number not in large:
             place = "weak"
         elif purpose == "head":
             place = place or "weak"
@@ -120,10 +130,10 @@ def _ends(html: str) -> dict[int, int]:
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "chain", "place", "heading")
+    __slots__ = ("text", "words", "linked", "chain", "place", "heading", "item")
 
-    def __init__(self, text: str, linked: int, chain: list[tuple[str, int]], heading: bool) -> None:
-        self.text, self.linked, self.chain, self.heading, self.place = text, linked, chain, heading, None
+    def __init__(self, text: str, linked: int, chain: list[tuple[str, int]], heading: bool, item: bool) -> None:
+        self.text, self.linked, self.chain, self.heading, self.item, self.place = text, linked, chain, heading, item, None
         self.words = text.count(" ") + 1
 
 
@@ -135,20 +145,21 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, list[tuple[str, int]]]] = []
     texts: list[tuple[str, bool]] = []
     in_link, muted, number, ends = False, False, 0, _ends(html)
+    unseen, depth = "", 0  # an inline element that isn't shown, and how many of its kind are open in it
 
     def close() -> None:
         if texts:
             text = " ".join(unescape("".join(t for t, _ in texts)).split())
             if text:
                 linked = sum(len(unescape(t).split()) for t, a in texts if a)
-                out.append(Block(text, linked, stack[-1][1] if stack else [], any(t in HEADINGS for t, _ in stack[-2:])))
+                out.append(Block(text, linked, stack[-1][1] if stack else [], any(t in HEADINGS for t, _ in stack[-2:]), any(t in ITEMS for t, _ in stack[-2:])))
             texts.clear()
 
     at, end = 0, len(html)
     while at < end:
         m = _TAG.search(html, at)
         start = m.start() if m else end
-        if start > at and not muted:
+        if start > at and not muted and not depth:
             texts.append((html[at:start], in_link))
         if not m:
             break
@@ -172,13 +183,18 @@ def blocks(html: str) -> list[Block]:
             elif tag != "option":
                 muted = True  # never closed: up to the next block
             continue
+        if tag not in BLOCK and tag not in VOID:
+            if depth:
+                depth += (tag == unseen) * (-1 if closing else 1)
+            elif not closing and attributes and not attributes.endswith("/") and _is_hidden(attributes):
+                unseen, depth = tag, 1
         if tag == "a":
             in_link = not closing
         elif tag == "br" or tag == "wbr":
             texts.append((" " if tag == "br" else "", in_link))
         elif tag in BLOCK:
             close()
-            muted = False
+            muted, depth = False, 0
             # a paragraph or heading ends where any block begins or ends
             while stack and stack[-1][0] == "p" or not closing and stack and stack[-1][0] in HEADINGS:
                 stack.pop()
@@ -203,7 +219,7 @@ def blocks(html: str) -> list[Block]:
     words: dict[int, int] = {}
     for b in out:
         for purpose, k in b.chain:
-            if purpose == "form":
+            if purpose in ("form", "mixed"):
                 words[k] = words.get(k, 0) + b.words
     large = {k for k, n in words.items() if 2 * n > sum(b.words for b in out)}
     for b in out:
@@ -219,14 +235,14 @@ def features(found: list[Block]) -> list[tuple]:
     for k, b in enumerate(found):
         before, after = size[k - 1] if k else (0, 0.0), size[k + 1] if k + 1 < len(found) else (0, 0.0)
         around = float(b.place == "around")
-        rows.append((*size[k], *before, *after, around, float(b.place == "main"), has_main, float(b.heading), float(b.text[-1] in ".!?…:。\"”»")))
+        rows.append((*size[k], *before, *after, around, float(b.place == "main"), has_main, float(b.heading), float(b.text[-1] in ".!?…:。\"”»"), float(b.item)))
     return rows
 
 
 # A decision tree: (feature, limit, tree at or under the limit, tree over it), or a share of main text.
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 1):
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12, least: int = 1):
     """Binary splits of lowest Gini impurity; between equal ones the first feature and the lowest limit."""
     share = float(labels.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -259,6 +275,31 @@ def _say(n: int, word: str = "lorem") -> str:
     return " ".join([word] * n)
 
 
+def _mixed_page(r: Random) -> str:
+    """A page put together by chance: what stands around, and text of any length, marked or not."""
+    link = lambda each: f'<a href="/">{_say(each)}</a>'
+    few, many = (lambda: r.choice((1, 2, 3, 5, 8))), (lambda: r.choice((1, 4, 9, 20, 33, 60, 100, 150)))
+    end = lambda: r.choice((".", ".", "", "!"))
+    links = lambda: f"<ul>{''.join(f'<li>{link(few())}</li>' for _ in range(r.randint(2, 7)))}</ul>"
+    name = lambda: r.choice(("ad", "cookie-notice", "sidebar", "footer", "share", "related-posts", "newsletter"))
+    around = (
+        links, links, lambda: f"<nav>{links()}</nav>", lambda: f"<div class='{name()}'><p>{_say(many())}{end()}</p></div>", lambda: f"<footer><p>{_say(many())}{end()}</p></footer>",
+        lambda: f"<aside><p>{_say(many())}{end()}</p></aside>", lambda: f"<div>{link(few())}</div>", lambda: f"<div class='comments'><p>{_say(many())}{end()}</p><p>{_say(few())}</p></div>",
+        lambda: f"{links()}<div>{_say(r.randint(1, 3))}</div>{links()}", lambda: "",
+    )
+    some = lambda: "".join(r.choice(around)() for _ in range(r.randint(0, 3)))
+    text = (
+        lambda: f"<p>keep {_say(many())}{end()}</p>", lambda: f"<p>keep {_say(many())}{end()}</p>", lambda: f"<div>keep{end()}</div>", lambda: f"<h2>keep {_say(few())}</h2><p>keep {_say(many())}.</p>",
+        lambda: f"<ul><li>keep {_say(few())}</li><li>keep {_say(many())}{end()}</li></ul>", lambda: f"<p>keep {_say(many())} {link(few())} {_say(few())}.</p>",
+    )
+    body = "".join(r.choice(text)() for _ in range(r.randint(1, 5)))
+    begin, close = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("", ""), ("", ""), ("<div>", "</div>")))
+    if len(begin) > 5:  # what says that it is main leaves out the rest
+        body += r.choice(("", links()))
+        return some() + r.choice(("", f"<div>{_say(many())}.</div>")) + begin + body + close + r.choice(("", f"<p>{_say(many())}{end()}</p>")) + some()
+    return some() + begin + body + close + some()
+
+
 def labelled_pages() -> list[str]:
     """Small pages written for training; blocks of main text start with "keep"."""
     link = lambda n, each=1: "".join(f'<li><a href="/{k}">{_say(each)}</a></li>' for k in range(n))
@@ -281,6 +322,21 @@ def labelled_pages() -> list[str]:
     out.append(f"<div class='menu'><span>{_say(24)}</span></div>{p(33)}{p(26)}<div class='footer'>{_say(40)}.</div>")
     out.append(f"<h1>keep {_say(3)}</h1>{p(20)}<h2>keep {_say(2)}</h2>{p(25)}")
     out.append(f"{p(12)}")
+    # whole pages of a few short blocks, and such beside links
+    for n in (1, 2, 3, 5, 9):
+        for many in (1, 2, 3):
+            out.append(p(n, "") * many)
+            out.append(f"<nav><ul>{link(5)}</ul></nav>{p(n, '') * many}<footer><p>{_say(20)}.</p></footer>")
+        out.append(f"<h1>keep {_say(n)}</h1>{p(n)}")
+        out.append(f"<ul>{link(6)}</ul><div>{_say(n)}</div><ul>{link(6)}</ul>{p(40)}{p(30)}")
+    # lists of links in an article: its tags, what it has, what to read next; lists of text stay
+    for k in (3, 8):
+        for each in (1, 4):
+            for begin, end in (("<article>", "</article>"), ("<main>", "</main>")):
+                items = f"<ul>{link(k, each)}</ul>"
+                out.append(f"{begin}<h1>keep {_say(3)}</h1>{items}{p(30)}<ul><li>keep {_say(3)}</li><li>keep {_say(each)}</li></ul>{p(2, '')}{items}{end}<footer>{_say(9)}.</footer>")
+                out.append(f"{begin}{p(12)}<ol><li>keep {_say(20)} <a href='/x'>{_say(each)}</a></li><li>keep {_say(each)}</li></ol>{p(25)}{items}{p(3)}{end}")
+    out += [_mixed_page(Random(k)) for k in range(480)]
     # short blocks of the same size: among links they are labels, among text they are text
     label = f"<div><a href='/'>{_say(6)}</a></div><div>{_say(3)}</div><div><a href='/'>{_say(6)}</a></div>"
     for n in (5, 6, 7, 30):
@@ -302,7 +358,7 @@ def labelled_pages() -> list[str]:
 def trained(pages: list[str] | None = None):
     found = [(blocks(x)) for x in pages or labelled_pages()]
     rows = np.array([r for b in found for r in features(b)])
-    labels = np.array([float(x.text.split()[0].rstrip(".") == "keep") for b in found for x in b])
+    labels = np.array([float(x.text.split()[0].rstrip(".!") == "keep") for b in found for x in b])
     return grow(rows, labels)
 
 
