@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, money, text
-from ..operators import layout, normalize, ofx, postings, summary, temporal
+from ..operators import layout, normalize, ofx, postings, sketches, summary, temporal
 from ..sources import readers, remote, sinks
+from ..streaming import windows
 from .adapters import events_ledger, lineitem_words, orders_ledger, pages_text, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,6 +356,33 @@ def period_totals(spark, sf_dir):
     return pairs.groupBy("l_suppkey", "order", "line", dates.iso_day(F.col("begins")).alias("begins"), dates.iso_day(F.col("ends")).alias("ends")).agg(F.count("*").alias("shipments"), money.total(F.col("l_extendedprice")).alias("total"))
 
 
+@query
+def sliding_totals(spark, sf_dir):
+    """Events by kind in windows of two days, one begun every day."""
+    found = windows.sliding(events_ledger(spark, sf_dir), "2 days", "1 day", "description")
+    return found.select("description", dates.iso_day(F.col("begins")).alias("begins"), dates.iso_day(F.col("ends")).alias("ends"), "entry_count", "total")
+
+
+@query
+def session_totals(spark, sf_dir):
+    """Events of each user in sessions that end after a day without any."""
+    found = windows.sessions(events_ledger(spark, sf_dir), "1 day", "reference")
+    return found.select("reference", F.unix_micros("begins").alias("begins"), F.unix_micros("ends").alias("ends"), "entry_count", "total")
+
+
+@query
+def period_sketches(spark, sf_dir):
+    """Orders by month, merged from sketches kept by day, with whether the estimates are as near the exact values as they should be."""
+    ledger = orders_ledger(spark, sf_dir)
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    found = sketches.merged(sketches.daily(ledger).withColumn("month", month), "month", quantiles=(0.1, 0.5, 0.9))
+    each = ledger.select(F.date_format("date", "yyyy-MM").alias("month"), "amount", "description").join(found, "month")
+    under = [F.avg((F.col("amount") <= F.col("quantiles")[k]).cast("double")) for k in range(3)]
+    near = [F.abs(u - q) <= sketches.RANK_ERROR + 1.0 / F.count("*") for u, q in zip(under, (0.1, 0.5, 0.9), strict=True)]
+    payees = F.abs(F.first("payees") / F.countDistinct("description") - 1) <= sketches.DISTINCT_ERROR
+    return each.groupBy("month").agg(F.first("entries").alias("entries"), F.first("total").alias("total"), (near[0] & near[1] & near[2]).alias("quantiles_near"), payees.alias("payees_near"))
+
+
 def _scratch(spark, name):
     """A new folder that driver and tasks share."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")

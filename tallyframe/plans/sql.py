@@ -170,4 +170,11 @@ FROM lineitem l ASOF LEFT JOIN b ON l.l_suppkey = b.l_suppkey AND l.l_shipdate >
 SELECT p.l_suppkey, p."order", p.line, strftime(begins, '%Y-%m-%d') AS begins, strftime(ends, '%Y-%m-%d') AS ends, count(*) AS shipments, {TOTAL.format('l_extendedprice')} AS total
 FROM p JOIN lineitem l ON l.l_suppkey = p.l_suppkey AND l.l_shipdate >= begins AND l.l_shipdate < ends GROUP BY ALL""",
     "csv_split": "SELECT doc_id, replace(coalesce(text, ''), chr(13), ' ') AS text, CAST(2 AS INTEGER) AS width FROM documents",
+    "sliding_totals": f"""WITH {EVENTS}, w AS (SELECT *, CAST(date AS DATE) - k AS begins FROM events_ledger, (SELECT unnest([0, 1]) AS k))
+SELECT description, strftime(begins, '%Y-%m-%d') AS begins, strftime(begins + 2, '%Y-%m-%d') AS ends, count(*) AS entry_count, {TOTAL.format('amount')} AS total FROM w GROUP BY description, begins""",
+    "session_totals": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS reference, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS amount FROM events),
+n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY reference ORDER BY t) <= 86400000000 THEN 0 ELSE 1 END AS opens FROM e),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY reference ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n)
+SELECT reference, min(t) AS begins, max(t) + 86400000000 AS ends, count(*) AS entry_count, {TOTAL.format('amount')} AS total FROM s GROUP BY reference, k""",
+    "period_sketches": f"""WITH {LEDGER} SELECT strftime(date, '%Y-%m') AS month, count(*) AS entries, {TOTAL.format('amount')} AS total, true AS quantiles_near, true AS payees_near FROM ledger GROUP BY ALL""",
 }
