@@ -25,7 +25,7 @@ THRESHOLD = 0.98
 TILE = 2048
 #: Tiles' worth of rows that are cut into tiles together, and axes that boxes have.
 _CUT_TOGETHER, _BOX_AXES = 8, 8
-#: Leading axes of the grid in whose cells tiles find one another.
+#: Leading axes of the grids in whose cells tiles find one another.
 _GRID_AXES = 3
 #: The axes are fitted on so many vectors at most, and so many components in all.
 FIT_ROWS, FIT_COMPONENTS = 20_000, 2_000_000
@@ -208,6 +208,44 @@ def _meet(basis, threshold: float, kind: str):
     return run
 
 
+def _reach(threshold: float) -> float:
+    return float(np.sqrt(2 - 2 * threshold + _SLACK)) or 1e-9
+
+
+def tiles_in_reach(box: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of different tiles of a label, each once, whose boxes (tile, grp, low, high) may be near, with both boxes.
+
+    Each box has one cell, that of its lowest corner, in a grid as coarse as the box is wide; a box looks into the
+    few cells, of its own grid and of coarser ones, in which the corner of a box may lie that is near it. So a
+    pair is met once at most, however wide the boxes are.
+    """
+    reach = _reach(threshold)
+    levels = max(1, int(np.ceil(np.log2(max(2.0, 2.0 / reach)))) + 1)  # coordinates of unit vectors lie between -1 and 1
+    edge = lambda c, k: F.coalesce(F.get(c, F.lit(k)), F.lit(0.0))
+    wide = F.greatest(*[edge("high", k) - edge("low", k) for k in range(_GRID_AXES)])
+    own = F.least(F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(reach)) / reach)), F.lit(0)), F.lit(levels)).cast("int")
+    placed = box.withColumn("level", own)
+    size = lambda level: reach * F.pow(F.lit(2.0), level)
+    sides = {s: placed.select(*[F.col(c).alias(f"{c}_{s}") for c in placed.columns]) for s in "ab"}
+    a = sides["a"].withColumn("level", F.explode(F.sequence(F.col("level_a"), F.lit(levels))))
+    b = sides["b"].withColumn("level", F.col("level_b"))
+    for k in range(_GRID_AXES):
+        low, high = F.floor((edge("low_a", k) - reach) / size(F.col("level"))) - 1, F.floor((edge("high_a", k) + reach) / size(F.col("level")))
+        low, high = F.greatest(low, F.floor(F.lit(-1.001) / size(F.col("level")))), F.least(high, F.floor(F.lit(1.001) / size(F.col("level"))))
+        a = a.withColumn(f"c{k}", F.explode(F.sequence(low, high)))
+        b = b.withColumn(f"c{k}", F.floor(edge("low_b", k) / size(F.col("level"))))
+    met = a.join(b.withColumnRenamed("grp_b", "grp_a"), ["grp_a", "level", *[f"c{k}" for k in range(_GRID_AXES)]])
+    once = (F.col("level_a") < F.col("level_b")) | (F.col("tile_a") < F.col("tile_b"))
+    return met.where(once)
+
+
+def near_tiles(box: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(tile_a, tile_b): the pairs of different tiles of a label whose boxes are near enough for the threshold."""
+    gap = F.zip_with(F.arrays_zip("low_a", "high_a"), F.arrays_zip("low_b", "high_b"), lambda p, q: F.greatest(F.lit(0.0), p["low_a"] - q["high_b"], q["low_b"] - p["high_a"]))
+    near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= 2 - 2 * threshold + _SLACK
+    return tiles_in_reach(box, threshold).where(near).select("tile_a", "tile_b")
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE
 ) -> DataFrame:
@@ -216,8 +254,10 @@ def near_duplicates(
     Vectors with equal, non-null labels and equally many components are linked from a
     cosine of ``threshold`` on. Vectors that are null, empty, zero, or hold null or
     non-finite components are linked with nothing: n_links 0, component_id their own id.
-    Equal vectors are compared once. Rows that repeat are vectors of their own; null ids
-    count as larger than any. An empty table gives no rows; other columns are not read.
+    Equal vectors, told by 128 bits of hashes, are compared once. Rows that repeat, or share an id, are
+    vectors of their own; null ids count as larger than any. A cosine of just the threshold links.
+    Vectors may have any number of components. An empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     spark = vectors.sparkSession
     # single-precision components stay so until they are compared: half the bytes, the same numbers
@@ -225,48 +265,38 @@ def near_duplicates(
     kind, stored = ("<f4", "array<float>") if single else ("<f8", "array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(stored).alias("v"))
     rows = rows.withColumn("grp", F.when(_valid("v", "label"), F.concat(F.size("v").cast("string"), F.lit(":"), F.col("label").cast("string"))))
-    nodes = rows.where("grp IS NOT NULL").groupBy("grp", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    # vectors are recognised by 128 bits of hashes, so that they themselves are shuffled as little as may be
+    keyed = rows.where("grp IS NOT NULL").select("id", "grp", "v", F.xxhash64("v").alias("k0"), F.xxhash64(F.lit("again"), "v").alias("k1"))
+    nodes = keyed.groupBy("grp", "k0", "k1").agg(F.first("v").alias("v"), F.min("id").alias("first"), F.count("*").alias("copies"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written: the numbers stay
     basis = spark.sparkContext.broadcast(axes(nodes))
     lead = staged(nodes.select("node", "v").transform(mapped, _leading(basis), "node long, lead double"), "leads")
     dealt = nodes.join(lead, "node").repartitionByRange("grp", "lead").sortWithinPartitions("grp", "lead")
     tiles = staged(dealt.select("grp", "node", "copies", "v").transform(mapped, _tiles(basis, tile, kind), _TILES), "tiles")
 
-    box = tiles.select("tile", "grp", "low", "high")
-    # tiles that are near share a cell of a grid if one of them is widened by the reach; of several such cells the first is theirs
-    reach = float(np.sqrt(2 - 2 * threshold + _SLACK)) or 1e-9
-    sides, cells, starts = [], [f"c{k}" for k in range(_GRID_AXES)], lambda side, k: F.col(f"s{k}_{side}")
-    for side, more in (("a", reach), ("b", 0.0)):
-        part = box.select(*[F.col(c).alias(f"{c}_{side}") for c in box.columns])
-        for k in range(_GRID_AXES):
-            first, last = (F.coalesce(F.floor((F.get(f"{edge}_{side}", F.lit(k)) + step) / reach), F.lit(0)) for edge, step in (("low", -more), ("high", more)))
-            part = part.withColumn(f"s{k}_{side}", first).withColumn(f"c{k}_{side}", F.explode(F.sequence(first, last)))
-        sides.append(part)
-    a, b = sides
-    gap = F.zip_with(F.arrays_zip("low_a", "high_a"), F.arrays_zip("low_b", "high_b"), lambda p, q: F.greatest(F.lit(0.0), p["low_a"] - q["high_b"], q["low_b"] - p["high_a"]))
-    near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= 2 - 2 * threshold + _SLACK
-    same = F.col("grp_a") == F.col("grp_b")
-    for k, c in enumerate(cells):
-        same &= (F.col(f"{c}_a") == F.col(f"{c}_b")) & (F.col(f"{c}_a") == F.greatest(starts("a", k), starts("b", k)))
-    pairs = a.join(b, same & (F.col("tile_a") <= F.col("tile_b"))).where(near).select("tile_a", "tile_b")
-    pairs = staged(pairs, "tile-pairs")
+    pairs = staged(near_tiles(tiles.select("tile", "grp", "low", "high"), threshold), "tile-pairs")
     body = tiles.select("tile", "n", "nodes", "copies", "vectors")
     for side in "ab":
         pairs = pairs.join(body.select(*[F.col(c).alias(f"{c}_{side}") for c in body.columns]), f"tile_{side}")
-    meetings = pairs.select((F.col("tile_a") == F.col("tile_b")).alias("same"), "n_a", "n_b", *[f"{c}_{s}" for s in "ab" for c in ("nodes", "copies", "vectors")])
+    parts = [f"{c}_{s}" for s in "ab" for c in ("nodes", "copies", "vectors")]
+    # a tile meets itself where it is read
+    itself = body.select(F.lit(True).alias("same"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), *[(F.col(c[:-2]) if c.endswith("a") else F.lit(None).cast("binary")).alias(c) for c in parts])
+    meetings = itself.unionByName(pairs.select(F.lit(False).alias("same"), "n_a", "n_b", *parts))
     found = staged(meetings.transform(mapped, _meet(basis, threshold, kind), _FOUND), "links")
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     grouped = components(found.where("b IS NOT NULL").select("a", "b"))
-    placed = nodes.select("grp", "v", "node", "first", "copies").join(counts, "node", "left").join(grouped, "node", "left")
-    placed = placed.select("grp", "v", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
+    placed = nodes.select("grp", "k0", "k1", "node", "first", "copies").join(counts, "node", "left").join(grouped, "node", "left")
+    placed = placed.select("grp", "k0", "k1", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
     placed = staged(placed, "placed")
     least = staged(placed.groupBy("root").agg(F.min("first").alias("least")), "roots")
-    known = placed.join(least, "root").select("grp", "v", "n_links", "least")
-    out = rows.where("grp IS NOT NULL").join(known, ["grp", "v"]).select("id", "n_links", F.col("least").alias("component_id"))
+    known = placed.join(least, "root").select("grp", "k0", "k1", "n_links", "least")
+    out = keyed.drop("v").join(known, ["grp", "k0", "k1"]).select("id", "n_links", F.col("least").alias("component_id"))
     alone = rows.where("grp IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionAll(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. What is null, zero or not finite is linked with nothing, vectors that repeat count each,
+    null ids come last, an empty table gives no rows: see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
