@@ -120,16 +120,35 @@ def reconcile(tables: DataFrame) -> DataFrame:
     return both.withColumn("agrees", near("credit") & near("debit"))
 
 
-def read_statements(words: DataFrame, pages: DataFrame) -> DataFrame:
+def _late(state: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The ledger as far as nothing is wrong with its statements, told by the query itself."""
+    quoted = F.concat(F.lit("'"), F.col("source_file"), F.lit("'"))
+    fine = (
+        F.when(F.col("wrong") == 1, S.refuse("no_statement_date", quoted, " has no statement date on its first pages."))
+        .when(F.col("wrong") == 2, S.refuse("no_table", quoted, " has no transaction table."))
+        .when(F.col("wrong") == 3, S.refuse("no_such_day", quoted, " has an impossible date in row ", F.col("bad_row").cast("string"), "."))
+        .when(F.col("wrong") == 4, S.refuse("totals_differ", quoted, " says credits $", F.col("declared_credit"), " and debits $", F.col("declared_debit"), ", but its rows come to $", F.col("parsed_credit"), " and $", F.col("parsed_debit"), "; nothing is returned."))
+        .otherwise(F.lit(None))
+    )
+    return state.where(fine.cast("string").isNull()).select("source_file").join(ledger, "source_file")
+
+
+def read_statements(words: DataFrame, pages: DataFrame, check: bool | str = True) -> DataFrame:
     """The ledger of statements given as words and page texts; an error if a statement has no date,
-    no table, an impossible day, or totals that disagree. All statements are checked in one pass."""
+    no table, an impossible day, or totals that disagree. All statements are checked in one pass, before
+    there is a result, or, with ``check`` "late", by the query that is returned (see ``schema.refusal``)."""
     tables, ends = read_tables(words), statement_ends(pages)
     ledger = to_ledger(tables, ends)
     rows = ledger.groupBy("source_file").agg(F.count("*").alias("rows"), F.min(F.when(F.col("date").isNull(), F.col("row_id"))).alias("bad_row"))
     state = words.select("source_file").distinct().join(ends, "source_file", "left").join(rows, "source_file", "left").join(reconcile(tables), "source_file", "left")
     wrong = F.when(F.col("end").isNull(), 1).when(F.col("rows").isNull(), 2).when(F.col("bad_row").isNotNull(), 3).when(~F.col("agrees"), 4)
     sums = [F.format_number(c, 2).alias(c) for c in ("declared_credit", "declared_debit", "parsed_credit", "parsed_debit")]
-    first = state.select("source_file", wrong.alias("wrong"), "bad_row", *sums).where("wrong IS NOT NULL").agg(F.min(F.struct("wrong", "source_file", "bad_row", *[F.col(c) for c in ("declared_credit", "declared_debit", "parsed_credit", "parsed_debit")]))).first()[0]
+    state = state.select("source_file", wrong.alias("wrong"), "bad_row", *sums)
+    if check == "late":
+        return _late(state, ledger)
+    if not check:
+        return ledger
+    first = state.where("wrong IS NOT NULL").agg(F.min(F.struct("wrong", "source_file", "bad_row", *[F.col(c) for c in ("declared_credit", "declared_debit", "parsed_credit", "parsed_debit")]))).first()[0]
     if first:
         reason, text = {
             1: ("no_statement_date", "{0!r} has no statement date on its first pages."),

@@ -62,13 +62,35 @@ def _check(found: DataFrame, typed: DataFrame) -> None:
         raise S.StatementParseError(reason, text.format(first.source_file, first.header))
 
 
-def to_ledger(raw: DataFrame, check: bool = True) -> DataFrame:
+def _late(found: DataFrame, typed: DataFrame) -> DataFrame:
+    """``typed`` as far as nothing is wrong with its files, told by the query itself: a file is known by its
+    header, so it is looked at even if it has no rows, and what its rows come to is a window over them."""
+    file = Window.partitionBy("source_file")
+    quoted = F.concat(F.lit("'"), F.col("source_file"), F.lit("'"))
+    state = found.select("source_file", "records", F.coalesce("amount_at", "debit_at", "credit_at").alias("_money"), F.array_join("header", ", ").alias("_names"))
+    rows = state.join(typed, "source_file", "left").withColumn("_wide", F.max("_extra").over(file))
+    rows = rows.withColumn("_usable", F.count_if(F.col("amount").isNotNull() & ~F.isnan("amount")).over(file))
+    fine = (
+        F.when(F.col("records") < 2, S.refuse("no_rows", quoted, " has no rows."))
+        .when(F.col("_money").isNull(), S.refuse("no_amount_column", quoted, " has neither an amount column nor debit or credit columns; it has ", F.coalesce("_names", F.lit("none")), "."))
+        .when(F.col("_wide") > 0, S.refuse("unreadable", quoted, " has a record that is longer than its header."))
+        .when(F.col("_usable") == 0, S.refuse("no_usable_amount", quoted, " has no rows with a usable amount."))
+        .otherwise(F.lit(None))
+    )
+    return rows.where(fine.cast("string").isNull()).select(*typed.columns)
+
+
+def to_ledger(raw: DataFrame, check: bool | str = True) -> DataFrame:
     """source_file, row_id, date, description, reference, amount.
 
     A file's dates are read by one format, that of its first date; others become null and
     their rows stay. An amount column wins over debit and credit even where it is blank.
     Rows without an amount go; row numbers are dense from 0 in each file. Text keeps its
     source form ("0012" stays), absent columns are empty text.
+
+    ``check``: True looks for what is wrong with the files by a job of its own, before there is a
+    result; "late" leaves it to the query that is returned, which ends with an error that
+    ``schema.refusal`` reads, so there is one job, and no rows at all are no error; False doesn't look.
     """
     found = headers(raw)
     rows = raw.join(found.drop("records", "header"), "source_file").where("pos > header_pos")
@@ -80,7 +102,9 @@ def to_ledger(raw: DataFrame, check: bool = True) -> DataFrame:
         F.when(F.col("amount_at").isNotNull(), parse_amount(cell("amount_at")))
         .otherwise(net_amount(parse_amount(cell("debit_at")), parse_amount(cell("credit_at")))).alias("amount"),
     )
-    if check:
+    if check == "late":
+        typed = _late(found, typed)
+    elif check:
         _check(found, typed)
     file = Window.partitionBy("source_file")
     first = F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("pos"))).over(file)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 #: The canonical ledger. ``row_id`` is dense from 0 in file order; text is never null.
@@ -56,5 +60,16 @@ class StatementParseError(ValueError):
         self.reason = reason
 
 
+def refuse(reason: str, *message: Column | str) -> Column:
+    """An expression that ends the query and says why."""
+    return F.raise_error(F.concat(F.lit(f"statement refused ({reason}): "), *[F.lit(m) if isinstance(m, str) else m for m in message]))
+
+
+def refusal(error: Exception) -> StatementParseError | None:
+    """What a late check says in an error of Spark's; null if it is an error of another kind."""
+    found = re.search(r"statement refused \((\w+)\): (.*?)(?: SQLSTATE: \w+)?$", str(error), re.MULTILINE)
+    return StatementParseError(found[1], found[2]) if found else None
+
+
 class ExportError(ValueError):
     """A ledger can't be exported with these parameters."""
