@@ -391,4 +391,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null html is empty, rows that repeat have a row each, pages are read whole,
+    an empty table gives no rows, other columns are not read: see ``extract``."""
     return extract(table(spark, sf_dir, "pages"))

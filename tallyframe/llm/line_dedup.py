@@ -153,10 +153,12 @@ class LineIndex:
         return LineIndex(refs, staged(filters, "line-filters"), self.shards, self.threshold, self.min_chars)
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
+        """Count the lines of further documents. Null text is one empty line, a line counts once a document however often it
+        stands there, rows that repeat are documents of their own; an empty table changes nothing, other columns are not read."""
         return self._changed(docs, 1, text_col)
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        """Take out documents that were inserted before."""
+        """Take out documents that were inserted before; nulls, repeats and empty tables are as in ``insert``."""
         return self._changed(docs, -1, text_col)
 
     def over(self) -> DataFrame:

@@ -144,6 +144,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Texts without words have size 0, a null source is a source, ties go by text,
+    rows that repeat are taken alike, an empty table gives no rows: see ``mix``."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 

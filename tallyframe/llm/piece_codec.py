@@ -248,7 +248,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """(id, ids, text) for each row of packed ids; null ids count as none."""
+    """(id, ids, text) for each row of packed ids. Null or empty ids give empty text, rows that repeat or have no id have a
+    row each, lists of any length are decoded whole; an empty table gives no rows, other columns are not read."""
     out = _slim(tokens, id_col, ids_col).transform(mapped, decoding(model_bytes(model)), "id long, ids binary, text string")
     return out.withColumnRenamed("id", id_col)
 
@@ -281,4 +282,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of every document. Null text is empty, long texts are encoded whole, rows that repeat or have no id have
+    a row each, an empty table gives no rows, other columns are not read: see ``round_trip``."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -210,8 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each row's id, fingerprint (16 hex digits) and component_id.
 
     Texts that are null, empty or of white space alone have fingerprint zero and are linked
-    like any other. Rows that repeat, or share an id, have a row each. An empty table gives
-    no rows; other columns are not read.
+    like any other; texts of any length are fingerprinted whole. Rows that repeat, or share an id,
+    have a row each; a bit that half of the shingles have, no more, is 0. An empty table gives
+    no rows; other columns, whatever their names, are not read.
     """
     prints = staged(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     found = prints.join(groups(prints, threshold), "print")
@@ -257,4 +258,6 @@ def kept_rows(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, ro
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Texts without words have fingerprint zero and are linked like any other,
+    null ids come last, rows that repeat have a row each, an empty table gives no rows: see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))

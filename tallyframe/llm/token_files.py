@@ -231,8 +231,9 @@ def write(
 ) -> None:
     """Write the ids of all documents to a token table, in ascending order of the documents' ids.
 
-    Null text counts as empty. Null ids come first; rows that share an id go by text. An
-    empty table makes an empty token table. Other columns are not read.
+    Null text counts as empty, texts of any length are encoded whole. Null ids come first; rows
+    that share an id go by text. An empty table makes an empty token table. Other columns,
+    whatever their names, are not read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = slim.repartitionByRange("id").sortWithinPartitions("id", "text")
@@ -286,6 +287,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, count and checksum of every document, read back from the files. Null text is empty, rows that repeat have a place each,
+    null ids come where the order of ids puts them, an empty table gives no rows: see ``write``."""
     import uuid
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
