@@ -108,7 +108,8 @@ def to_ledger(raw: DataFrame, check: bool | str = True) -> DataFrame:
         _check(found, typed)
     file = Window.partitionBy("source_file")
     first = F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("pos"))).over(file)
-    dated = typed.withColumn("date", parse_date(F.col("_date"), format_of(first)))
+    # a column for each step, so that the window and the format are worked out once
+    dated = typed.withColumn("_first", first).withColumn("_form", format_of(F.col("_first"))).withColumn("date", parse_date(F.col("_date"), F.col("_form")))
     kept = dated.where(F.col("amount").isNotNull() & ~F.isnan("amount"))
     place = (F.row_number().over(file.orderBy("pos")) - 1).cast("long")
     return kept.select("source_file", place.alias("row_id"), "date", "description", "reference", "amount")

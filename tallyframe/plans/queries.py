@@ -122,6 +122,44 @@ def year_resolve(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.iso_day(dates.make_day(year, F.month(day), F.least(F.dayofmonth(day), F.lit(28)))).alias("day"))
 
 
+@query
+def impossible_days(spark, sf_dir):
+    """Months and days, some of which no year has, with the year that a statement of August 20, 1996 gives them."""
+    end = F.lit("1996-08-20").cast("timestamp_ntz")
+    month, day = F.month("o_orderdate"), F.dayofmonth("o_orderdate") + F.col("o_orderkey") % 4
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.iso_day(dates.make_day(dates.resolve_year(month, end), month, day.cast("int"))).alias("day"))
+
+
+@query
+def statement_dates(spark, sf_dir):
+    """The first date that a page's text has, wherever it stands."""
+    written = F.concat(F.lit("Account 12/31 of "), F.col("o_orderpriority"), F.lit(" "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" page 1 of 2, from May 1, 1990"))
+    text_ = F.when(F.col("o_orderkey") % 11 == 0, F.lit("no day here")).otherwise(written)
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.iso_day(dates.statement_day(text_)).alias("day"))
+
+
+#: Headers of files that name their columns differently; the last two have debits and credits.
+HEADERS = (
+    ("Transaction Date", "Desc", "Ref", "Amt"), ("posted_date", "MEMO", "check_number", "Net Amount"), (" Trans Date", "payee ", "Check No", "value"),
+    ("post_date", "Details", "trans_id", "amount"), ("date", "narrative", "checkno", "Withdrawal", "Deposit"), ("Date", "Description", "Transaction ID", "Money Out", "money_in"),
+)
+
+
+@query
+def header_aliases(spark, sf_dir):
+    """Files under different headers, read together."""
+    file = F.pmod("o_orderkey", F.lit(len(HEADERS))).cast("int")
+    price = F.format_string("%.2f", "o_totalprice")
+    signed = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("($"), price, F.lit(")"))).otherwise(price)
+    split = [F.when(F.col("o_orderstatus") == "F", price), F.when(F.col("o_orderstatus") != "F", price)]
+    first = [F.date_format("o_orderdate", "MM/dd/yyyy"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")]
+    rows = read(spark, sf_dir, "orders").select(file.alias("k"), (F.col("o_orderkey") + 1).alias("pos"), F.when(file < 4, F.array(*first, signed)).otherwise(F.array(*first, *split)).alias("cells"))
+    heads = spark.createDataFrame([(k, 0, list(h)) for k, h in enumerate(HEADERS)], "k int, pos long, cells array<string>")
+    raw = rows.unionByName(heads).select(F.concat(F.lit("file"), F.col("k").cast("string")).alias("source_file"), "pos", "cells")
+    found = normalize.to_ledger(raw, check="late")
+    return found.select("source_file", "row_id", dates.iso_day(F.col("date")).alias("day"), "description", "reference", "amount")
+
+
 #: Forms in which dates are written; columns are told apart by the key modulo their number.
 DATE_FORMS = (
     "M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "yyyy-MM-dd HH:mm", "MM-dd-yyyy", "dd MMM yyyy", "M/d/yy", "d-MMM-yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss.SSS", "d MMMM yyyy",

@@ -177,4 +177,8 @@ n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY reference ORDER BY t) <=
 s AS (SELECT *, sum(opens) OVER (PARTITION BY reference ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n)
 SELECT reference, min(t) AS begins, max(t) + 86400000000 AS ends, count(*) AS entry_count, {TOTAL.format('amount')} AS total FROM s GROUP BY reference, k""",
     "period_sketches": f"""WITH {LEDGER} SELECT strftime(date, '%Y-%m') AS month, count(*) AS entries, {TOTAL.format('amount')} AS total, true AS quantiles_near, true AS payees_near FROM ledger GROUP BY ALL""",
+    "impossible_days": """SELECT o_orderkey, strftime(TRY_CAST(printf('%04d-%02d-%02d', CASE WHEN month(o_orderdate) > 8 THEN 1995 ELSE 1996 END, month(o_orderdate), day(o_orderdate) + o_orderkey % 4) AS DATE), '%Y-%m-%d') AS day FROM orders""",
+    "statement_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
+    "header_aliases": """SELECT 'file' || o_orderkey % 6 AS source_file, row_number() OVER (PARTITION BY o_orderkey % 6 ORDER BY o_orderkey) - 1 AS row_id, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  o_orderpriority AS description, CAST(o_orderkey AS VARCHAR) AS reference, round(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END, 2) AS amount FROM orders""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -78,14 +79,32 @@ def kind_of(name: str) -> str:
     return "pdf" if low.endswith(".pdf") else "excel" if low.endswith((".xlsx", ".xls")) else "csv"
 
 
-def read_statement(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger of a statement file (or of several of one kind); all that can go wrong is a StatementParseError."""
-    kind = kind_of(path)
+def files_by_kind(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path, or of all folders below it, by kind. Names that begin with a dot or an underscore aren't statements."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), {}
+    while found.hasNext():
+        file = found.next().getPath()
+        inside = file.toString().removeprefix(at.toString()).split("/")
+        if not any(x.startswith((".", "_")) for x in inside):
+            out.setdefault(kind_of(file.getName()), []).append(file.toString())
+    return out
+
+
+def read_statement(spark: SparkSession, path: str, check: bool | str = True) -> DataFrame:
+    """The ledger of a statement file, or of all files of a folder, each by its kind; all that can go wrong
+    is a StatementParseError, but for what ``check`` "late" leaves to the query."""
     try:
-        if kind == "pdf":
-            return layout.read_statements(*read_pdf(spark, path))
-        raw = read_excel(spark, path) if kind == "excel" else read_csv(spark, path)
-        return normalize.to_ledger(raw)
+        kinds = files_by_kind(spark, path)
+        ledgers = []
+        if kinds.get("pdf"):
+            ledgers.append(layout.read_statements(*read_pdf(spark, kinds["pdf"]), check))
+        for kind, reader in (("excel", read_excel), ("csv", read_csv)):
+            if kinds.get(kind):
+                ledgers.append(normalize.to_ledger(reader(spark, kinds[kind]), check))
+        if not ledgers:
+            raise StatementParseError("no_rows", "There are no rows.")
+        return reduce(DataFrame.unionByName, ledgers)
     except StatementParseError:
         raise
     except Exception as e:

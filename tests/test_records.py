@@ -136,3 +136,24 @@ def test_strip_takes_linear_time(spark):
     kept = [chr(c) for c in range(0x3001) if not chr(c).isspace() and not 0xD800 <= c < 0xE000]
     frame = spark.createDataFrame([(every + "x" + every,), ("".join(kept),)], "t string")
     assert [r[0] for r in frame.select(text.strip(F.col("t"))).collect()] == ["x", "".join(kept)]
+
+
+def test_folders_of_several_kinds(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.csv").write_text("date,memo,amount\n2026-01-01,a,1\n")
+    (tmp_path / "deep" / "b.txt").write_text('date,memo,amount\n2026-01-02,"b\nb",2\n')
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / ".hidden.csv").write_text("x")
+    where = f"file://{tmp_path}"
+    assert sorted((r.description, r.amount) for r in readers.read_statement(spark, where).collect()) == [("a", 1.0), ("b\nb", 2.0)]
+    (tmp_path / "c.PDF").write_text("")
+    assert sorted((k, len(v)) for k, v in readers.files_by_kind(spark, where).items()) == [("csv", 2), ("pdf", 1)]
+    words = [("c", 1, 10.0, x, k, t) for k, (x, t) in enumerate([(63.0, "Date"), (150.0, "Description")])] + [("c", 1, 20.0, x, k, t) for k, (x, t) in enumerate([(61.5, "6/4"), (150.0, "Pay"), (405.0, "5.00")])]
+    pages = spark.createDataFrame([("c", 1, "June 30, 2026")], "source_file string, page int, text string")
+    monkeypatch.setattr(readers, "read_pdf", lambda s, paths: (s.createDataFrame(words, readers.WORDS), pages))
+    assert sorted((r.description, r.amount) for r in readers.read_statement(spark, where).collect()) == [("Pay", 5.0), ("a", 1.0), ("b\nb", 2.0)]
+    (tmp_path / "none").mkdir()
+    for bad, reason in (("none", "no_rows"), ("absent", "unreadable")):
+        with pytest.raises(readers.StatementParseError) as e:
+            readers.read_statement(spark, f"{where}/{bad}")
+        assert e.value.reason == reason
