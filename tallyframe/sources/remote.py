@@ -128,6 +128,13 @@ class CreateSink(DataSource):
         return CreateWriter(self.options)
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as PyArrow takes it too: with its scheme, and three slashes after ``file:``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -153,6 +160,7 @@ def push(plan: DataFrame, documents: DataFrame, client, folder: str, attempts: i
     off unless the remote system refuses a second document under a key.
     """
     spark = plan.sparkSession
+    folder = _uri(spark, folder)
     ship(spark)
     spark.dataSource.register(CreateSink)
     if not _exists(spark, f"{folder}/plan/_SUCCESS"):
