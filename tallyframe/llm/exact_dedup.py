@@ -20,8 +20,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 
-from .common import WS_CLASS, binary, drop_staged, mapped, squeeze, staged, table
+from .common import binary, mapped, squeeze, staged, table
 
 #: Bytes of text that one trie holds before it spills a subtree.
 TRIE_BYTES = 32 << 20
@@ -229,33 +230,108 @@ def _assigned(parts: DataFrame, owned: DataFrame, id_col: str) -> DataFrame:
     return each.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _key(ident, tie) -> tuple:
+    """Rows in the order in which they stay: null ids last, then a hash of the row."""
+    return ident is None, ident or 0, tie
+
+
+def firsts(text_at: int, trie_bytes: int):
+    """Map side of ``dedupe``: of a task's rows (their columns, id, tie) with equal texts the first. A trie's worth of
+    rows is held at a time and then handed on subtree by subtree; what had copies is remembered
+    after that, within the same bound, so that a text with very many leaves a task about once."""
+
+    def run(batches):
+        held, size, trie, told, told_bytes = [], 0, PatriciaTrie(), {}, 0
+
+        def flush():
+            nonlocal told, told_bytes
+            table = pa.Table.from_batches(held)
+            while trie.weight:
+                rows = []
+                for body, (key, row, copies) in trie.spill():
+                    rows.append((row, len(body), xxhash.xxh64_intdigest(body) - (1 << 63)))
+                    if copies > 1 or body in told:
+                        told_bytes += 0 if body in told else len(body) + 200
+                        told[body] = key
+                if rows:
+                    out = table.take(pa.array([r[0] for r in rows], pa.int64()))
+                    for k, name in ((1, "n_bytes"), (2, "content_hash")):
+                        out = out.append_column(name, pa.array([r[k] for r in rows], pa.int64()))
+                    yield from out.combine_chunks().to_batches()
+            if told_bytes > trie_bytes:
+                told, told_bytes = {}, 0
+
+        at = 0
+        for batch in batches:
+            n = len(batch.schema)
+            columns = binary(batch.column(text_at)), batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
+            for k, (raw, ident, tie) in enumerate(zip(*columns, strict=True)):
+                body, key = squeeze(raw or b""), _key(ident, tie)
+                if told and body in told and told[body] <= key:
+                    continue
+                node = trie.terminal(body)
+                if node[2] is None:
+                    node[2] = [key, at + k, 1]
+                    trie.grow(body, 40)
+                else:
+                    node[2][2] += 1
+                    if key < node[2][0]:
+                        node[2][:2] = key, at + k
+            held.append(batch)
+            at, size = at + batch.num_rows, size + batch.nbytes
+            if size > trie_bytes:
+                yield from flush()
+                held, at, size = [], 0, 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def stay(text_at: int, trie_bytes: int):
+    """Owner side of ``dedupe``: rows sorted by (length, content hash) and then in the order in which they stay,
+    through one trie: a row whose text isn't in it stays. Tries are let go between texts of
+    different hashes once they are full, as none of what they hold comes again."""
+
+    def run(batches):
+        trie, mark = PatriciaTrie(), None
+        for batch in batches:
+            names = batch.schema.names
+            dealt = zip(batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist(), strict=True)
+            keep = []
+            for place, raw in zip(dealt, binary(batch.column(text_at)), strict=True):
+                if place != mark and trie.bytes > trie_bytes:
+                    trie = PatriciaTrie()
+                mark = place
+                node = trie.terminal(squeeze(raw or b""))
+                keep.append(node[2] is None)
+                node[2] = True
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names[:-4])
+
+    return run
+
+
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int | None = None) -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the smallest id.
 
-    Nulls, repeats and empty tables are as in ``assign``; of rows that repeat id and text any
-    one stays. Other columns may have any names.
+    Nulls, repeats and empty tables are as in ``assign``; of rows that repeat id and text the one
+    with the lowest hash stays. Other columns may have any names. Rows are shuffled once, whole, after each task has
+    dropped the copies that it has seen; nothing is joined, and no table is written in between.
     """
-    parts, owned = parts_and_owners(docs, id_col, text_col)
-    found = staged(_assigned(parts, owned, "_kept").select("_kept", "kept", "text_sha256"), "assigned")
-    drop_staged(parts)  # they hold a copy of the texts
-    rows_of = found.groupBy("_kept").agg(F.count("*").alias("_n"), F.max("kept").alias("_any"))
-    ids = staged(rows_of.where("_any"), "kept-ids")
-    ident, names = F.col(id_col).cast("long"), docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), ident.alias("_id"), F.col(text_col).alias("_text"))
-    plain = whole.join(ids.where("_n = 1 AND _kept IS NOT NULL"), F.col("_id") == F.col("_kept"), "left_semi").select("_row")
-    shared = ids.where("_n > 1 OR _kept IS NULL").select("_kept")
-    if shared.isEmpty():
-        return plain.select("_row.*")
-    # several rows with an id: told apart by their texts
-    norm = F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), WS_CLASS, " ")
-    wanted = found.where("kept").join(shared.withColumnRenamed("_kept", "_shared"), F.col("_kept").eqNullSafe(F.col("_shared")), "left_semi")
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("text_sha256"))
-    several = whole.join(shared, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row", "_id", F.sha2(norm, 256).alias("_sha")).join(wanted, same, "left_semi")
-    one = several.groupBy("_id", "_sha").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
-    return plain.unionAll(one.select("_row")).select("_row.*")
+    names, limit = docs.columns, trie_bytes or TRIE_BYTES
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names may hold dots
+    schema, text_at = plain.schema, names.index(text_col)
+    tie = F.xxhash64(*[F.col(f.name) if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(f.name)) for f in schema])
+    rows = plain.select("*", plain[f"c{names.index(id_col)}"].cast("long").alias("_id"), tie.alias("_tie"))
+    dealt = StructType([*rows.schema.fields, StructField("n_bytes", LongType()), StructField("content_hash", LongType())])
+    own = rows.transform(mapped, firsts(text_at, limit), dealt).repartition("n_bytes", "content_hash")
+    own = own.sortWithinPartitions("n_bytes", "content_hash", F.col("_id").asc_nulls_last(), "_tie")
+    return own.transform(mapped, stay(text_at, limit), schema).toDF(*names)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group. Null and empty texts are one group, null ids come last, rows that repeat are copies,
+    long texts are compared whole, an empty table gives no rows, other columns are not read: see ``assign``."""
     return assign(table(spark, sf_dir, "documents"))
 
 

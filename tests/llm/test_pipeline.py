@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyframe.llm import mixing, toxicity, warc_fixity
+from tallyframe.llm import components, exact_dedup, mixing, toxicity, warc_fixity
 from tallyframe.llm.common import staged, table
 from tests.conftest import SF
 from tests.llm.test_operators import DOCS, awkward, roots, squeezed
@@ -149,3 +150,33 @@ def test_many_records_of_one_range_fill_several_archives(spark):
     record = warc_fixity.page_record(F.col("url"), F.col("html"), F.col("page_id"))
     leaves = warc_fixity.page_leaves(pages.unionAll(same), record).groupBy("archive").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("places")).collect()
     assert len(leaves) >= 11 and sum(r.n for r in leaves) == 130_000 and max(r.n for r in leaves) < 16_000 and all(r.n == r.places for r in leaves)
+
+
+@pytest.mark.parametrize("limit", [1, 3000, 1 << 20])
+def test_exact_dedup_keeps_first_rows(spark, limit):
+    """Small tries: what a task has handed on is remembered, and owners' tries are let go."""
+    r = random.Random(limit)
+    texts = [f"text {k}  of some length {'x' * (k % 90)}" for k in range(40)] + ["", None, " \t", "hot text"]
+    rows = [(r.choice([None, r.randint(0, 99)]), r.choice([t, t and t.replace(" ", "\n")]), k % 3, [k % 2]) for k, t in enumerate(texts * 3)] + [(k, "hot text", 0, [0]) for k in range(300, 0, -1)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, _id array<int>").repartition(3)
+    got = exact_dedup.dedupe(frame, trie_bytes=limit)
+    assert got.columns == frame.columns
+    squeezed = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    best: dict = {}
+    for i, t, *_ in rows:
+        best[squeezed(t)] = min(best.get(squeezed(t), (True, 0)), (i is None, i or 0))
+    found = [tuple(x) for x in got.collect()]
+    assert sorted((squeezed(t), (i is None, i or 0)) for i, t, *_ in found) == sorted(best.items()) and all(x in rows for x in found)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_forest_connects_what_edges_connect():
+    r = np.random.default_rng(2)
+    for n, m in ((1, 1), (50, 30), (50, 400), (3000, 2900)):
+        a, b = r.integers(0, n, m) * 7 - 9, r.integers(0, n, m) * 7 - 9
+        x, y = components.forest(a, b)
+        at = {int(v): k for k, v in enumerate(np.unique(np.concatenate([a, b])))}
+        want, got = (roots(len(at), [(at[int(p)], at[int(q)]) for p, q in zip(*e, strict=True)]) for e in ((a, b), (x, y)))
+        assert want == got and len(x) < len(at) and len(set(x.tolist())) == len(x) and not set(x.tolist()) & set(y.tolist())
