@@ -16,6 +16,9 @@ from . import records
 RAW = "source_file string, pos long, cells array<string>"
 
 
+_LIBRARIES = {"excel": ("openpyxl", "spreadsheets"), "pdf": ("pdfplumber", "PDF statements")}
+
+
 def _need(module: str, what: str) -> None:
     if importlib.util.find_spec(module) is None:
         raise StatementParseError("missing_library", f"Reading {what} needs the library {module}, which is not installed.")
@@ -29,7 +32,7 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_excel(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """As ``read_csv``, of the first sheet of each workbook."""
-    _need("openpyxl", "spreadsheets")
+    _need(*_LIBRARIES["excel"])
 
     def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -45,7 +48,7 @@ def read_excel(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_pdf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Words and page texts of PDF files, for ``layout.read_statements``."""
-    _need("pdfplumber", "PDF statements")
+    _need(*_LIBRARIES["pdf"])
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -94,6 +97,8 @@ def files_by_kind(spark: SparkSession, path: str) -> dict[str, list[str]]:
 def read_statement(spark: SparkSession, path: str, check: bool | str = True) -> DataFrame:
     """The ledger of a statement file, or of all files of a folder, each by its kind; all that can go wrong
     is a StatementParseError, but for what ``check`` "late" leaves to the query."""
+    if (kind := kind_of(path)) != "csv":
+        _need(*_LIBRARIES[kind])
     try:
         kinds = files_by_kind(spark, path)
         ledgers = []
