@@ -89,8 +89,14 @@ def resident(key, make):
 
 
 def let_go() -> None:
-    """Give memory that Python has freed back to the system."""
+    """Give memory that Python has freed back to the system, cycles too."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system: an executor's processes share its memory, and what
+    a worker keeps for later the others can't have."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -104,11 +110,18 @@ def _begin(owner: str) -> None:
 
 
 def _slices(batches, most_bytes: int = BATCH_BYTES):
-    """The rows of Arrow batches in parts of about so many bytes; a row is never cut."""
+    """The rows of Arrow batches in parts of about so many bytes; a row is never cut. What large
+    batches took is given back before the next one is read."""
+    seen = 0
     for batch in batches:
         rows = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+        seen += batch.nbytes
+        del batch
+        if seen > most_bytes:
+            give_back()
+            seen = 0
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
@@ -119,6 +132,7 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
     def run(batches):
         _begin(owner)
         yield from function(_slices(batches))
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, mapped, resident, table
+from .common import Remembered, let_go, mapped, resident, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -70,6 +70,8 @@ class PieceCodec:
                     self.ids[piece], self.cost[piece] = i, -sp.get_score(i)
         if any(MARK in x.lstrip(MARK) or "\n" in x for x in self.ids):
             raise ValueError("a piece of this model crosses a word boundary or a line feed")
+        #: each piece as the one string that all that is remembered shares
+        self.same = {x: x for x in self.ids}
         self.history: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         # a piece that its own characters don't merge into is never made
@@ -80,7 +82,8 @@ class PieceCodec:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         #: the next shorter match at the same position
-        self.shorter = {x: next((x[:k] for k in range(len(x) - 1, 1, -1) if x[:k] in made), x[0]) for x in whole}
+        shorter = ((x, next((x[:k] for k in range(len(x) - 1, 1, -1) if x[:k] in made), x[0])) for x in whole)
+        self.shorter = {x: self.same.get(y, y) for x, y in shorter}
         inside = {m[1] for x in whole for m in re.finditer(r"[^\W\d_](?=([^\w\s]))", x)}
         stops = re.escape("".join(x for x in ".,;:!?*&%$#|()[]{}<>+=/\"-" if x not in inside))
         word = f"{MARK}*[^\\W\\d_]+(?=[{MARK}\n{stops}]|$)"
@@ -98,9 +101,9 @@ class PieceCodec:
                 cost, at = min((self.cost.get(a + b, np.inf), k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
                 if cost == np.inf:
                     break
-                symbols[at : at + 2] = [new := symbols[at] + symbols[at + 1]]
+                symbols[at : at + 2] = [new := self.same[symbols[at] + symbols[at + 1]]]
                 events.append((cost, new if at == 0 else None, new if at == len(symbols) - 1 else None))
-            known = self.history[token] = (len(symbols) == 1, events)
+            known = self.history[token] = (len(symbols) == 1, tuple(events))
         return known
 
     def _compatible(self, left: str, right: str) -> bool:
@@ -129,7 +132,7 @@ class PieceCodec:
                 j += 1
         if len(self.pairs) >= _PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = good
+        self.pairs[self.same.get(left, left), self.same.get(right, right)] = good
         return good
 
     # encoding
@@ -206,8 +209,14 @@ def _each_bad_byte(raw: bytes) -> str:
 
 
 def codec(proto: bytes) -> PieceCodec:
-    """One codec for each model and worker."""
-    return resident(("pieces", hashlib.sha256(proto).digest()), lambda: PieceCodec(proto))
+    """One codec for each model and worker. What it was made from is given back."""
+
+    def made() -> PieceCodec:
+        new = PieceCodec(proto)
+        let_go()
+        return new
+
+    return resident(("pieces", hashlib.sha256(proto).digest()), made)
 
 
 def encoding(proto: bytes):

@@ -17,6 +17,8 @@ import numpy as np
 
 DECAY, SPAN, LONGEST = 0.8, 8, 24  # LONGEST without the borders
 BEGIN, END = "\x02", "\x03"
+#: Words, and subsequences of words, that are taken together: for the bounds, and for the exact values of what they leave.
+_BOUNDED, _EXACT = (4096, 1 << 18), (512, 1 << 15)
 
 
 @cache
@@ -27,6 +29,11 @@ def places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
 
 
+def _rows(most: tuple[int, int], each: int) -> int:
+    """How many words of ``each`` subsequences are taken together."""
+    return max(1, min(most[0], most[1] // max(1, each)))
+
+
 def windows(word: str) -> list[str]:
     """A long word as overlapping pieces, so that all of it is seen."""
     if len(word) <= LONGEST:
@@ -105,13 +112,14 @@ class Landmarks:
         for n, same in by_length.items():
             at, weights = places(n)
             least = np.sqrt((weights**2).sum())
-            for low in range(0, len(same), 4096):
-                part = same[low : low + 4096]
+            many, few = _rows(_BOUNDED, len(at)), _rows(_EXACT, len(at))
+            for low in range(0, len(same), many):
+                part = same[low : low + many]
                 triples = self._triples(part, n)
                 bound = self.most[triples] @ weights.astype(np.float32) / least
                 near = np.flatnonzero(bound >= self.floor * 0.999)
-                for k in range(0, len(near), 512):
-                    rows = near[k : k + 512]
+                for k in range(0, len(near), few):
+                    rows = near[k : k + few]
                     found = self._exact([part[r] for r in rows.tolist()], triples[rows], n)
                     found[found < self.floor] = 0.0
                     for r in np.flatnonzero(found.any(axis=1)).tolist():
