@@ -35,6 +35,11 @@ FORMATS = (
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
 )
+#: "May" is a short name as well as a full one. What a first value with it matches, and the formats that it leaves open.
+MAY = (
+    (r"^[Mm][Aa][Yy] \d{1,2}, \d{4}$", ("MMM d, yyyy", "MMMM d, yyyy")),
+    (r"^\d{1,2} [Mm][Aa][Yy] \d{4}$", ("d MMM yyyy", "d MMMM yyyy")),
+)
 # Fixed values.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
@@ -47,14 +52,22 @@ def _read(text: Column, k: int) -> Column:
     return F.when(text.rlike(pattern), day)
 
 
+def _read_open(text: Column, j: int) -> Column:
+    """By any of the formats that a May leaves open."""
+    return F.coalesce(*[_read(text, k) for k, (_, form) in enumerate(FORMATS) if form in MAY[j][1]])
+
+
 def format_of(first: Column) -> Column:
-    """The number of the first format that reads a column's first value; ISO if none does."""
-    return F.coalesce(*[F.when(_read(first, k).isNotNull(), k) for k in range(len(FORMATS))], F.lit(0))
+    """The number of the first format that reads a column's first value; ISO if none does. Beyond ``FORMATS``
+    come those of ``MAY``: a column that begins with a May is read with short and full names of months."""
+    may = [F.when(first.rlike(pattern) & _read_open(first, j).isNotNull(), len(FORMATS) + j) for j, (pattern, _) in enumerate(MAY)]
+    return F.coalesce(*may, *[F.when(_read(first, k).isNotNull(), k) for k in range(len(FORMATS))], F.lit(0))
 
 
 def parse_date(text: Column, form: Column) -> Column:
     """By the column's one format; other values are null."""
-    return reduce(lambda rest, k: F.when(form == k, _read(text, k)).otherwise(rest), range(len(FORMATS)), F.lit(None).cast("timestamp_ntz"))
+    reads = [_read(text, k) for k in range(len(FORMATS))] + [_read_open(text, j) for j in range(len(MAY))]
+    return reduce(lambda rest, k: F.when(form == k, reads[k]).otherwise(rest), range(len(reads)), F.lit(None).cast("timestamp_ntz"))
 
 
 def iso_day(date: Column) -> Column:
